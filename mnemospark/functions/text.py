@@ -15,6 +15,11 @@ def lit_or(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: lambdas repeat what stands inside them."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def count_tokens(text: Column | str) -> Column:
     """Token estimate: a CJK character or a symbol is one token, a run of ASCII letters and
     digits one per four, a run of other letters and digits one per two."""
@@ -63,14 +68,15 @@ def keyword_overlap(terms: Column | str, content: Column | str, keywords: Column
     """Share of query terms that occur, as substrings, in content or keywords."""
     t = lit_or(terms)
     hay = ascii_lower(F.concat_ws(" ", lit_or(content), F.array_join(lit_or(keywords), " ")))
-    found = F.size(F.filter(t, lambda x: F.contains(hay, x)))
+    found = let(hay, lambda h: F.size(F.filter(t, lambda x: F.contains(h, x))))
     return F.when(F.size(t) > 0, found / F.size(t)).otherwise(F.lit(0.0))
 
 
 def overlay_score(terms: Column | str, content: Column | str) -> Column:
     """Number of query terms contained; a query without terms matches everything once."""
-    t, low = lit_or(terms), F.lower(lit_or(content))
-    return F.when(F.size(t) == 0, F.lit(1)).otherwise(F.size(F.filter(t, lambda x: F.contains(low, x)))).cast("long")
+    t = lit_or(terms)
+    found = let(F.lower(lit_or(content)), lambda h: F.size(F.filter(t, lambda x: F.contains(h, x))))
+    return F.when(F.size(t) == 0, F.lit(1)).otherwise(found).cast("long")
 
 
 def sanitise_query(text: Column | str) -> Column:
@@ -157,7 +163,7 @@ def truncate_to_tokens(text: Column | str, budget: Column | int) -> Column:
         cut = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, step, lambda s: F.when(s["lo"] > 0, dotted(s["lo"])).otherwise(""))
         return F.when(b <= 0, "").when(count_tokens(t) <= b, t).otherwise(cut)
 
-    return F.get(F.transform(F.array(normalise_space(text)), search), 0)
+    return let(normalise_space(text), search)
 
 
 def utf8_size(*texts: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_overlap, lit_or, normalise_keywords, search_tokens
+from ..functions.text import keyword_overlap, let, normalise_keywords, search_tokens
 
 RELATION_FROM = 0.70
 TOMBSTONE_FROM = 0.85
@@ -164,17 +164,25 @@ def focus_terms(content: Column | str, keywords: Column | str, most: int = 10) -
         pairs = F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<string>"))
         return F.slice(F.array_distinct(F.concat(words, keyword_tokens, tokens, pairs)), 1, most)
 
-    return F.get(F.transform(F.array(focus_tokens(search_tokens(content))), build), 0)
+    return let(focus_tokens(search_tokens(content)), build)
 
 
-def candidate_score(
-    focus: Column, content: Column, keywords: Column, other_content: Column, other_keywords: Column, slot: Column, same_stream: Column
-) -> Column:
-    """How likely an earlier unit is what a new one corrects; never below zero."""
-    mine, theirs = normalise_keywords(keywords, 6), normalise_keywords(other_keywords, 6)
-    overlap = lambda words: keyword_overlap(search_tokens(words), other_content, other_keywords)
+def lookup_terms(units: DataFrame) -> DataFrame:
+    """Units with what candidates are scored by, once a unit and not once a pair."""
+    words = normalise_keywords("keywords", 6)
+    return units.withColumn("focus", focus_terms("content", "keywords")).withColumns({
+        "words": words, "word_tokens": search_tokens(F.array_join(words, " ")),
+        "focus_tokens": search_tokens(F.array_join("focus", " ")), "content_tokens": search_tokens("content"),
+    })
+
+
+def candidate_score(new: str, other_content: Column, other_keywords: Column, slot: Column, same_stream: Column) -> Column:
+    """How likely an earlier unit is what a new one corrects; never below zero. ``new`` is the
+    prefix of the columns that ``lookup_terms`` made."""
+    mine, theirs = F.col(f"{new}words"), normalise_keywords(other_keywords, 6)
+    overlap = lambda name: keyword_overlap(f"{new}{name}", other_content, other_keywords)
     exact = F.when(F.size(mine) > 0, 0.25 * F.size(F.array_intersect(mine, theirs)) / F.size(mine)).otherwise(0.0)
-    total = 0.45 * overlap(F.array_join(focus, " ")) + 0.35 * overlap(F.array_join(mine, " ")) + 0.2 * overlap(content) + exact + slot
+    total = 0.45 * overlap("focus_tokens") + 0.35 * overlap("word_tokens") + 0.2 * overlap("content_tokens") + exact + slot
     return F.greatest(F.lit(0.0), total + F.when(same_stream, 0.05).otherwise(0.0))
 
 
@@ -218,6 +226,3 @@ def reconcile_batch(units: DataFrame, removals: DataFrame) -> DataFrame:
 def window_rank(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
-
-def as_column(x: Column | str) -> Column:
-    return lit_or(x)

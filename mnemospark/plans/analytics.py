@@ -604,10 +604,10 @@ def batch_reconcile(t: Tables):
 def correction_candidates(t: Tables):
     """For every fiftieth unit the best eight earlier units of the same user."""
     u = t.units.where("level = 1 and memory_type = 'factual'").select("id", "doc_id", "user_id", "content", "keywords", "transaction_time", F.col("source").alias("stream"))
-    new = u.where("doc_id % 50 = 1").select(*[F.col(c).alias(f"n_{c}") for c in u.columns])
-    pairs = u.join(F.broadcast(new), (F.col("user_id") == F.col("n_user_id")) & (F.col("transaction_time") < F.col("n_transaction_time")))
-    focus = correction.focus_terms("n_content", "n_keywords")
-    score = correction.candidate_score(focus, F.col("n_content"), F.col("n_keywords"), F.col("content"), F.col("keywords"), F.lit(0.0), F.col("stream") == F.col("n_stream"))
+    new = correction.lookup_terms(u.where("doc_id % 50 = 1"))
+    new = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
+    pairs = u.join(new, (F.col("user_id") == F.col("n_user_id")) & (F.col("transaction_time") < F.col("n_transaction_time")))
+    score = correction.candidate_score("n_", F.col("content"), F.col("keywords"), F.lit(0.0), F.col("stream") == F.col("n_stream"))
     scored = pairs.select("n_id", "id", "transaction_time", F.round(score, 6).alias("score")).where("score > 0")
     return correction.window_rank(scored, ["n_id"], [F.desc("score"), F.desc("transaction_time"), F.asc("id")]).where("rank < 8").drop("transaction_time")
 

@@ -396,7 +396,7 @@ def label_parsers(t: Tables):
 
     d = F.col("doc_id")
     change = correction.resolve_change(
-        F.when(d % 5 == 0, "negative").otherwise("positive"), F.when(d % 3 == 0, "past").when(d % 2 == 0, "now").otherwise(F.lit(None)), F.lit(None).cast("string"), F.lit("preference")
+        F.when(d % 5 == 0, "negative").otherwise("positive"), F.when(d % 3 == 0, "past").when(d % 2 == 0, "present").otherwise(F.lit(None)), F.lit(None).cast("string"), F.lit("preference")
     )
     mine, theirs = F.lit("user:self"), F.when(d % 4 == 0, "user:self").when(d % 4 == 1, "user:unknown").otherwise("user:bob")
     said = F.when(d % 3 == 0, "please forget my address").otherwise("I moved")
