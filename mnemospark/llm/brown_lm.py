@@ -98,12 +98,11 @@ def exchange(counts: np.ndarray, movable: int, classes: int, rounds: int = 8) ->
             g[was] -= a
             g[:, was] -= b
             g[was, was] -= own
-            rows, cols = g.sum(1), g.sum(0)
+            rows, cols = g.sum(1) + b, g.sum(0) + a  # as they'll be wherever the word goes
             corner = np.arange(k)
             gain = f(g + a).sum(1) - f(g).sum(1) + f(g.T + b).sum(1) - f(g.T).sum(1)
             diag = g[corner, corner]
             gain += f(diag + a + b + own) - f(diag) - (f(diag + a) - f(diag)) - (f(diag + b) - f(diag))
-            # the word's row also adds to the sums of the other margin, alike for every class
             gain -= f(rows + a.sum() + own) - f(rows) + f(cols + b.sum() + own) - f(cols)
             to = int(np.argmax(gain[:classes]))
             if gain[to] <= gain[was] + 1e-9:
@@ -133,6 +132,7 @@ class Model:
     transition: np.ndarray  # log10, state to state through their classes
     emission: np.ndarray  # log10 by head word, without the numerator of rare classes
     rare_total: np.ndarray  # log10 of the emission denominators of the shapes
+    classes: np.ndarray  # by state
 
     def score(self, text: str | None) -> tuple[int, int, float, float]:
         """Tokens, known ones, base and model log10 probability, both without rare words'
@@ -265,7 +265,7 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     emission = np.log10(heads + ADD) - total[class_of]
     texts = int(pairs[size - 1].sum())
     types = int((heads > 0).sum() + rare[:, 0].sum()) + (texts > 0)
-    model = Model(vocabulary, heads, texts, int(heads.sum() + rare[:, 1].sum()) + texts, types, transition, emission, total[shapes])
+    model = Model(vocabulary, heads, texts, int(heads.sum() + rare[:, 1].sum()) + texts, types, transition, emission, total[shapes], of)
     return model, part
 
 

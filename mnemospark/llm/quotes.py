@@ -44,7 +44,8 @@ def normalised(text: Column) -> Column:
 def unquoted(lines: Column) -> Column:
     """The own text: unquoted lines without the attribution line that heads a quotation."""
     own = F.filter(lines, lambda x: (x["level"] == 0) & ~F.rlike(x["body"], F.lit(_ATTRIBUTION)))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), r"\n{3,}", "\n\n"))
+    joined = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
+    return F.regexp_replace(F.regexp_replace(joined, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
 
 
 def _passages(messages: DataFrame) -> DataFrame:
