@@ -122,3 +122,25 @@ def sliding_duplicates(events: DataFrame, by: list[str], at: str, seconds: int =
     before = F.lag(at).over(Window.partitionBy(*by).orderBy(at))
     gap = F.timestamp_diff("MICROSECOND", before, F.col(at))
     return events.withColumn("duplicate", F.coalesce(gap < seconds * 1_000_000, F.lit(False)))
+
+
+def keyframes(frames: DataFrame, video: str, at: str, vector: str, alike: float | None = 0.9, gap: float = 60) -> DataFrame:
+    """Frames kept of each video: the first, and those unlike the last kept one (cosine below
+    ``alike``; None: never) or more than ``gap`` after it. What was kept decides, so a video
+    folds in order."""
+    import numpy as np
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, kind="stable")
+        kept, last, since = [], None, None
+        for n, (now, v) in enumerate(zip(pdf[at], pdf[vector])):
+            v = np.asarray(v, np.float64)
+            v = v / (np.linalg.norm(v) or 1.0)
+            if last is None or now - since > gap or (alike is not None and float(v @ last) < alike):
+                kept.append(n)
+                last, since = v, now
+        return pdf.iloc[kept][[video, at]]
+
+    schema = frames.select(video, at).schema
+    return frames.select(video, at, vector).groupBy(video).applyInPandas(fold, schema)

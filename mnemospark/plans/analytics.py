@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import community, correction, graph, ingest, lifecycle, organization, stats
+from ..operators import community, correction, facts, graph, ingest, lifecycle, organization, stats
 from ..sources import tables as src
 from .fixtures import Tables
 from .registry import query
@@ -689,3 +689,65 @@ def revoke_contributor(t: Tables):
 def org_listing(t: Tables):
     rows = _sources(t).select(F.col("id").alias("record"), "content", F.round("importance", 6).alias("importance"))
     return organization.listing(rows, "the", "importance", 15).select("record", "importance")
+
+
+# --- facts -----------------------------------------------------------------------------
+
+#: Statements of our own; the tables hold no natural language.
+STATEMENTS = (
+    "I now live in Beijing and my email is dylan@example.com", "我不喜欢香菜", "Juan Perez vive en Madrid y trabaja en OpenAI",
+    "I used to work at OpenAI, now work at Anthropic", "My email changed from old@example.com to new@example.com", "Maybe I'll move to Beijing next year",
+    "Acme Labs is based in Berlin", "I also speak Japanese", "会议改到明天下午三点", "The call is at 5pm tomorrow",
+)
+
+
+def _stated(t: Tables):
+    said = F.get(F.array(*[F.lit(x) for x in STATEMENTS]), (F.col("doc_id") % len(STATEMENTS)).cast("int"))
+    return t.units.select("id", "doc_id", "user_id", said.alias("content"), F.lit("user").alias("domain"), F.lit(None).cast("string").alias("agent_id"))
+
+
+@query("X1 X2 X3 X4 X5 X6 X7 X8 X9 X10 X11 C31")
+def fact_extract(t: Tables):
+    found = facts.detect_facts(_stated(t))
+    return found.select("id", F.explode("facts").alias("f")).select("id", "f.*")
+
+
+@query("X12 X13")
+def best_facts(t: Tables):
+    none = F.array().cast(f"array<{facts.FACT}>")
+    rows = facts.hydrate(_stated(t).withColumn("extracted", none), "extracted")
+    best = rows.select("id", facts.best_fact(F.col("facts")).alias("f")).where("f is not null")
+    return best.select("id", "f.attribute", "f.value", "f.change_type", "f.confidence")
+
+
+@query("A22")
+def fact_scorecard(t: Tables):
+    rows = facts.detect_facts(_stated(t)).select("doc_id", F.explode("facts").alias("f"))
+    language = F.when(F.rlike("f.value", F.lit("[一-鿿]")), "zh").otherwise("latin")
+    ok = F.col("f.confidence") >= 70
+    cases = rows.select(language.alias("language"), "f.attribute", "f.change_type", ok.alias("covered"), ok.alias("attribute_ok"), ok.alias("change_ok"), ok.alias("exact"))
+    return stats.scorecard(cases, ["language", "attribute", "change_type"])
+
+
+@query(
+    "X22 C36",
+    """SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'forget' ELSE 'update' END AS plan, TIMESTAMP '2024-01-31' <= transaction_time + INTERVAL 15 MINUTE AS open FROM units""",
+    "units",
+)
+def semantic_plans(t: Tables):
+    said = F.when(F.col("doc_id") % 3 == 0, "Please delete what I said").otherwise("I moved again")
+    expires = F.timestamp_add("MINUTE", F.lit(15), F.col("transaction_time"))
+    return t.units.select("id", correction.plan_kind(F.lit(None).cast("string"), said).alias("plan"), (t.as_of <= expires).alias("open"))
+
+
+@query(
+    "S14 S21 S22 S24 T1 T14",
+    """WITH RECURSIVE f AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    r AS (SELECT label, vec_id, n, vec_id AS since, true AS kept FROM f WHERE n = 1
+      UNION ALL SELECT f.label, f.vec_id, f.n, CASE WHEN f.vec_id - r.since > 25 THEN f.vec_id ELSE r.since END, f.vec_id - r.since > 25 FROM r JOIN f ON f.label = r.label AND f.n = r.n + 1)
+    SELECT vec_id FROM r WHERE kept""",
+)
+def keyframes(t: Tables):
+    """By gap alone: the vectors here are all unlike each other."""
+    frames = t.embeddings.select("label", "vec_id", "embedding")
+    return ingest.keyframes(frames, "label", "vec_id", "embedding", None, 25).select("vec_id")
