@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.shared import written
 from ..functions.text import keyword_overlap, search_tokens
@@ -54,6 +55,7 @@ def vector_candidates(units: DataFrame, queries: DataFrame, k: int) -> DataFrame
         return units.sparkSession.createDataFrame([], schema)
     block = np.array([r["vector"] for r in rows], np.float64)
     held = units.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], block))
+    key = to_arrow_type(queries.schema["query_id"].dataType)
 
     def near(batches):
         qids, q = held.value
@@ -75,7 +77,8 @@ def vector_candidates(units: DataFrame, queries: DataFrame, k: int) -> DataFrame
                     out[0].append(qids[n])
                     out[1].append(ids[i])
                     out[2].append(float(score[i]))
-            yield pa.RecordBatch.from_pydict({"query_id": out[0], "id": out[1], "score": out[2]})
+            columns = [pa.array(x, t) for x, t in zip(out, (key, pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
     rows = units.where(F.col("embedding").isNotNull()).select("id", "embedding")
     return rows.mapInArrow(near, schema)
