@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import community, correction, facts, graph, ingest, lifecycle, organization, stats
+from ..operators import community, correction, facts, graph, hooks, ingest, lifecycle, organization, stats
 from ..sources import tables as src
 from .fixtures import Tables
 from .registry import query
@@ -751,3 +751,83 @@ def keyframes(t: Tables):
     """By gap alone: the vectors here are all unlike each other."""
     frames = t.embeddings.select("label", "vec_id", "embedding")
     return ingest.keyframes(frames, "label", "vec_id", "embedding", None, 25).select("vec_id")
+
+
+# --- cycles and built-in windows -------------------------------------------------------
+
+
+@query(
+    "T11 L1 L2 A24",
+    """WITH active AS (SELECT DISTINCT user_id::VARCHAR AS user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY),
+    refs AS (SELECT DISTINCT user_id, unnest(refs) AS id FROM units u WHERE level >= 2 AND NOT EXISTS (SELECT 1 FROM tombstones x WHERE x.target_kind = 'memory_unit' AND x.target_id = u.id)),
+    d AS (SELECT u.id, u.user_id, level, round(CASE WHEN a.user_id IS NULL THEN importance ELSE importance * 0.9 END, 6) AS importance, a.user_id IS NOT NULL AS act FROM units u LEFT JOIN active a USING (user_id))
+    SELECT id, importance FROM d WHERE NOT act OR importance >= 0.1 OR level = 1 AND EXISTS (SELECT 1 FROM refs r WHERE r.user_id = d.user_id AND r.id = d.id)""",
+    "units tombstones",
+)
+def decay_cycle(t: Tables):
+    """One cycle: units of users active in the last week fade by a tenth, faint ones go."""
+    recent = t.events.where(F.col("ts") >= F.lit("2024-01-23").cast("timestamp_ntz"))
+    active = recent.select(F.col("user_id").cast("string").alias("user_id")).distinct().withColumn("active", F.lit(True))
+    units = t.units.join(F.broadcast(active), "user_id", "left")
+    units = units.withColumn("importance", F.round(F.when(F.col("active"), F.col("importance") * 0.9).otherwise(F.col("importance")), 6))
+    gone = lifecycle.prune(units.where("active"), t.tombstones, 0.1).select("id")
+    return units.join(gone, "id", "left_anti").select("id", "importance")
+
+
+@query(
+    "T15 T16 W11",
+    """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, value, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*)::BIGINT AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, n""",
+)
+def user_sessions(t: Tables):
+    """Session windows with a gap of six hours; late rows are taken whenever they come."""
+    window = F.session_window(F.col("ts").cast("timestamp"), "6 hours")
+    rows = t.events.groupBy("user_id", window.alias("w")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.select("user_id", shown("w.start").alias("started"), "events", "total")
+
+
+@query(
+    "W11 T16",
+    """SELECT event_id, ntile(4) OVER w AS quarter, round(cume_dist() OVER w, 6) AS share, round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS last_three,
+    strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS slot FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""",
+)
+def analytic_windows(t: Tables):
+    w = Window.partitionBy("user_id").orderBy("ts")
+    return t.events.select(
+        "event_id", F.ntile(4).over(w).cast("long").alias("quarter"), F.round(F.cume_dist().over(w), 6).alias("share"),
+        F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 4).alias("last_three"), F.date_format(F.window(F.col("ts").cast("timestamp"), "15 minutes")["start"], "yyyy-MM-dd HH:mm:ss").alias("slot"),
+    )
+
+
+@query(
+    "L8",
+    """WITH g AS (SELECT id, doc_id % 7 AS depth FROM units WHERE level = 3), m AS (SELECT id, unnest(['plan', 'do']) AS step FROM g WHERE depth < 5)
+    SELECT id || '-' || step AS source_id, id AS target_id, 'IsSubTaskOf' AS relation FROM m""",
+    "units",
+)
+def goal_plan(t: Tables):
+    goals = t.units.where("level = 3").select("id", (F.col("doc_id") % 7).alias("depth"))
+
+    def milestones(df):
+        steps = df.select(F.col("id").alias("parent_id"), F.explode(F.array(F.lit("plan"), F.lit("do"))).alias("content"))
+        return steps.withColumn("id", F.concat_ws("-", "parent_id", "content"))
+
+    return hooks.plan_goals(goals, hooks.Hooks(milestones=milestones))[1].select("source_id", "target_id", "relation")
+
+
+@query(
+    "L11 L12 F11 T9",
+    """WITH s AS (SELECT *, embedding IS NOT NULL AS ready FROM unit_embeddings WHERE level IN (1, 2, 3))
+    SELECT user_id, count(*)::BIGINT AS stored, count(*) FILTER (ready)::BIGINT AS published, count(*) FILTER (ready AND level = 1)::BIGINT AS l1,
+    count(*) FILTER (ready AND level = 2 AND domain = 'user')::BIGINT AS shareable FROM s GROUP BY 1""",
+    "units unit_embeddings",
+)
+def store_pipeline(t: Tables):
+    """What storing the units publishes, and what waits for its vector."""
+    ready = ingest.materializable(F.lit(True), F.lit("Published"), F.col("level"), F.col("domain"), F.col("embedding"))
+    rows = t.unit_embeddings.withColumn("ready", ready)
+    share = ingest.publishable(F.col("domain"), F.col("level"), F.col("content"))
+    return rows.groupBy("user_id").agg(
+        F.count("*").alias("stored"), F.count_if("ready").alias("published"), F.count_if(F.col("ready") & (F.col("level") == 1)).alias("l1"), F.count_if(F.col("ready") & share).alias("shareable"),
+    )
