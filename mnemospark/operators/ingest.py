@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import gapless_rank
 from ..functions.text import count_tokens
 
 MAX_PACK_EVENTS = 128
@@ -83,34 +84,45 @@ def backoff_seconds(attempts: Column) -> Column:
 def pack_events(events: DataFrame, key: list[str], order: list[str], tokens: str, max_events: int = MAX_PACK_EVENTS, max_tokens: int = MAX_PACK_TOKENS) -> DataFrame:
     """Add ``seq_no``: the pack of an event within its key. A pack ends when the next event
     would be its ``max_events + 1``-th or raise it above ``max_tokens``; an event that is too
-    large by itself has a pack of its own. The rule depends on the packs before, so each key
-    folds over its ordered events, in Arrow batches."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        seq, count, used, out = 0, 0, 0, []
-        for n in pdf[tokens]:
-            if count and (count >= max_events or used + n > max_tokens):
-                seq, count, used = seq + 1, 0, 0
-            out.append(seq)
-            count, used = count + 1, used + n
-        return pdf.assign(seq_no=out)
+    large by itself has a pack of its own. The rule depends on the packs before, so sorted
+    partitions stream past a counter: no key is held in memory, however many events it has."""
+    import pyarrow as pa
 
     cols = events.select(*dict.fromkeys([*key, *order, tokens]))
+    size = cols.columns.index(tokens)
+
+    def fold(batches):
+        now, seq, count, used = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for who, n in zip(zip(*(batch.column(k).to_pylist() for k in range(len(key)))), batch.column(size).to_pylist()):
+                n = n or 0
+                if who != now:
+                    now, seq, count, used = who, 0, 0, 0
+                elif count >= max_events or used + n > max_tokens:
+                    seq, count, used = seq + 1, 0, 0
+                out.append(seq)
+                count, used = count + 1, used + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "seq_no"])
+
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cols.repartition(parts, *key).sortWithinPartitions(*key, *order)
     schema = cols.withColumn("seq_no", F.lit(0).cast("long")).schema
-    return cols.groupBy(*key).applyInPandas(fold, schema)
+    return rows.mapInArrow(fold, schema)
 
 
 def schedule_fairly(packs: DataFrame, key: list[str], first: str) -> DataFrame:
     """Add ``slot``: packs taken one a key in turn, keys by their first appearance. ``packs``
     has one row a pack with ``seq_no`` and ``first`` (when the key first appeared)."""
-    order = ["seq_no", first, *key]
-    return packs.withColumn("slot", F.row_number().over(Window.orderBy(*order)) - 1)
+    return gapless_rank(packs, [F.col(c).asc() for c in ("seq_no", first, *key)], "slot")
 
 
 def within_budget(rows: DataFrame, size: str, budget: int, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """The prefix whose running ``size`` stays within ``budget``; the first row always."""
+    """The prefix whose running ``size`` (1 or more a row) stays within ``budget``; the first
+    row always. Without ``by`` no more than ``budget`` rows can stay, so the rest is cut before
+    the running sum."""
+    if not by:
+        rows = rows.orderBy(*order).limit(budget + 1)
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_used": F.sum(size).over(w), "_n": F.count("*").over(w)})
     return rows.where((F.col("_used") <= budget) | (F.col("_n") == 1)).drop("_used", "_n")
