@@ -29,14 +29,14 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, next_id, next_text)``, the next row by ascending id, the first after
     the last. Rows are dealt by id ranges; only each range's first row meets its neighbour."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    # several ranges a partition even out what each gets
+    parts = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16384)
     rows = rows.withColumn("bucket", range_bucket(rows, "doc_id", parts))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     firsts = written(firsts, "firsts")
-    used = sorted(r["bucket"] for r in firsts.select("bucket").collect())  # at most ``parts``
-    before = {b: used[n - 1] for n, b in enumerate(used)}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None)
-    firsts = firsts.select((to[F.col("bucket")] if before else F.col("bucket")).alias("bucket"), "first")
+    by_range = Window.orderBy("bucket")  # of at most ``parts`` rows
+    before = F.coalesce(F.lag("bucket").over(by_range), F.max("bucket").over(Window.partitionBy()))
+    firsts = firsts.select(before.alias("bucket"), "first")
     order = Window.partitionBy("bucket").orderBy("doc_id", F.xxhash64("text"))
     rows = rows.withColumns({"after": F.lead(F.struct("doc_id", "text")).over(order)})
     after = F.coalesce("after", "first")
