@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_overlap, let, normalise_keywords, search_tokens
+from .retrieval import bm25, top_k
 
 RELATION_FROM = 0.70
 TOMBSTONE_FROM = 0.85
@@ -130,10 +131,15 @@ def fact_pair_score(same_key: Column, same_kind: Column, same_value: Column, lef
 
 def best_fact_pairs(facts: DataFrame, others: DataFrame) -> DataFrame:
     """For each fact of ``facts`` its best compatible one of ``others`` (columns unit_id, subject,
-    subject_key, attribute, value_kind, canonical, confidence). Joined on subject and attribute;
-    only ``:unknown`` keys and equal ones meet, as two equi-joins, so no key is compared with all."""
+    subject_key, attribute, value_kind, canonical, confidence). The score depends on a fact's
+    class and confidence alone, so of each class only its best two units can be an answer (the
+    best may be the unit itself): a hot subject or attribute is a few rows on the other side."""
     key = ["subject", "attribute"]
-    right = others.select(*key, *[F.col(c).alias(f"o_{c}") for c in ("unit_id", "subject_key", "value_kind", "canonical", "confidence")])
+    kind = [*key, "subject_key", "value_kind", "canonical"]
+    once = others.groupBy(*kind, "unit_id").agg(F.max("confidence").alias("confidence"))
+    w = Window.partitionBy(*kind).orderBy(F.desc("confidence"), F.desc("unit_id"))
+    best_two = once.withColumn("n", F.row_number().over(w)).where("n <= 2")
+    right = best_two.select(*key, *[F.col(c).alias(f"o_{c}") for c in ("unit_id", "subject_key", "value_kind", "canonical", "confidence")])
     pairs = facts.join(right, key).where(subjects_compatible(F.col("subject_key"), F.col("o_subject_key")) & (F.col("unit_id") != F.col("o_unit_id")))
     score = fact_pair_score(
         F.col("subject_key") == F.col("o_subject_key"), F.col("value_kind") == F.col("o_value_kind"), F.col("canonical") == F.col("o_canonical"), F.col("confidence"), F.col("o_confidence")
@@ -186,6 +192,20 @@ def candidate_score(new: str, other_content: Column, other_keywords: Column, slo
     return F.greatest(F.lit(0.0), total + F.when(same_stream, 0.05).otherwise(0.0))
 
 
+def candidates(units: DataFrame, new: DataFrame, limit: int = 8) -> DataFrame:
+    """``(new_id, id)`` worth scoring for each new unit: earlier units of the same user among
+    the best ``2 * limit`` by text and the latest ``max(6 * limit, 24)``. Ids travel, not texts."""
+    earlier = (F.col("user_id") == F.col("n_user_id")) & (F.col("transaction_time") < F.col("n_transaction_time"))
+    heads = new.select(*[F.col(c).alias(f"n_{c}") for c in ("id", "user_id", "transaction_time")])
+    slim = units.select("id", "user_id", "transaction_time")
+    w = Window.partitionBy("n_id").orderBy(F.desc("transaction_time"), "id")
+    recent = slim.join(heads, earlier).withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(6 * limit, 24))
+    queries = new.select(F.col("id").alias("query_id"), F.array_join("focus", " ").alias("text"))
+    hits = bm25(units, queries).join(slim, "id").join(heads, F.col("query_id") == F.col("n_id")).where(earlier)
+    best = top_k(hits.select("query_id", "id", "score"), 2 * limit)
+    return recent.select(F.col("n_id").alias("new_id"), "id").union(best.select(F.col("query_id").alias("new_id"), "id")).distinct()
+
+
 def slot_alignment(same_slot: Column, same_attribute: Column, same_kind: Column, same_value: Column) -> Column:
     return (
         F.when(same_slot, 0.55).when(same_attribute & same_kind & same_value, 0.32).when(same_attribute & same_kind, 0.28).when(same_attribute, 0.2).otherwise(-0.25)

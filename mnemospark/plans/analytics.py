@@ -11,6 +11,7 @@ from ..sources import tables as src
 from .fixtures import Tables
 from .registry import query
 from .scalar import tokens_sql
+from ..functions.shared import written
 from ..functions.text import count_tokens
 
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -221,14 +222,14 @@ def prune_protected(t: Tables):
 
 @query(
     "L5 J6 J7 L3",
-    """WITH hits AS (SELECT id FROM units WHERE level = 2 AND doc_id < 200), refs AS (SELECT id, unnest(refs) AS event_id FROM units),
+    """WITH hits AS (SELECT id FROM units WHERE level = 2), refs AS (SELECT id, unnest(refs) AS event_id FROM units),
     matched AS (SELECT DISTINCT r.event_id FROM refs r JOIN hits h ON h.id = r.id JOIN l0_events e ON e.id = r.event_id)
     SELECT 'unit' AS kind, id FROM hits UNION ALL SELECT 'event', event_id FROM matched
     UNION ALL SELECT DISTINCT 'related_unit', id FROM refs WHERE event_id IN (SELECT event_id FROM matched) AND id NOT IN (SELECT id FROM hits)""",
     "units l0_events",
 )
 def forget_preview(t: Tables):
-    return lifecycle.forget_preview(t.units.where("level = 2 and doc_id < 200").select("id"), t.units, t.l0_events)
+    return lifecycle.forget_preview(t.units.where("level = 2").select("id"), t.units, t.l0_events)
 
 
 @query(
@@ -264,13 +265,13 @@ def task_tree_depth(t: Tables):
 
 @query(
     "J11",
-    """SELECT c_custkey AS user_id, coalesce(array_to_string(list(task_id || ':' || status ORDER BY task_id), ','), '') AS tasks FROM customer LEFT JOIN tasks ON c_custkey = user_id WHERE c_custkey <= 200 GROUP BY 1""".replace(
+    """SELECT c_custkey AS user_id, coalesce(array_to_string(list(task_id || ':' || status ORDER BY task_id), ','), '') AS tasks FROM customer LEFT JOIN tasks ON c_custkey = user_id GROUP BY 1""".replace(
         "list(task_id || ':' || status ORDER BY task_id)", "list_filter(list(task_id || ':' || status ORDER BY task_id), lambda x: x IS NOT NULL)"
     ),
     "tasks",
 )
 def goal_trees(t: Tables):
-    goals = t.customer.where("c_custkey <= 200").select(F.col("c_custkey").alias("user_id"))
+    goals = t.customer.select(F.col("c_custkey").alias("user_id"))
     trees = lifecycle.goal_trees(goals, t.tasks)
     names = F.array_join(F.transform("tasks", lambda x: F.concat_ws(":", x["task_id"].cast("string"), x["status"])), ",")
     return trees.select("user_id", F.coalesce(names, F.lit("")).alias("tasks"))
@@ -305,12 +306,12 @@ def reflection_pack(t: Tables):
 
 @query(
     "T6 T18",
-    f"""WITH m AS (SELECT user_id, count(*) AS units, sum({tokens_sql('content')}) AS tokens, min(transaction_time) AS f FROM units WHERE level = 1 AND doc_id % 5 = 0 GROUP BY 1)
+    f"""WITH m AS (SELECT user_id, count(*) AS units, sum({tokens_sql('content')}) AS tokens, min(transaction_time) AS f FROM units WHERE level = 1 GROUP BY 1)
     SELECT user_id FROM m WHERE units >= 8 OR tokens >= 2000 OR date_diff('second', f, TIMESTAMP '2024-01-31') >= 21600""",
     "units",
 )
 def reflection_due(t: Tables):
-    markers = lifecycle.reflection_delta(t.units.where("doc_id % 5 = 0"), count_tokens("content"))
+    markers = lifecycle.reflection_delta(t.units, count_tokens("content"))
     return lifecycle.due_for_reflection(markers, t.as_of).select("user_id")
 
 
@@ -340,12 +341,12 @@ def event_packs(t: Tables):
 @query(
     "W7 W8",
     """WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS seq_no, min(ts) OVER (PARTITION BY user_id) AS first, n FROM
-      (SELECT user_id, event_type, min(ts) AS ts, count(*) AS n FROM events WHERE user_id < 20 GROUP BY 1, 2)),
+      (SELECT user_id, event_type, min(ts) AS ts, count(*) AS n FROM events GROUP BY 1, 2)),
     s AS (SELECT *, row_number() OVER (ORDER BY seq_no, first, user_id) - 1 AS slot FROM p)
     SELECT user_id, event_type, slot FROM (SELECT *, sum(n) OVER (ORDER BY slot) AS used FROM s) WHERE used <= 2000 OR slot = 0""",
 )
 def fair_schedule(t: Tables):
-    packs = t.events.where("user_id < 20").groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"), F.count("*").alias("n"))
+    packs = t.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"), F.count("*").alias("n"))
     by = Window.partitionBy("user_id")
     packs = packs.withColumns({"seq_no": F.row_number().over(by.orderBy("event_type")) - 1, "first": F.min("ts").over(by)})
     slots = ingest.schedule_fairly(packs, ["user_id"], "first")
@@ -575,18 +576,18 @@ def corrected_units(t: Tables):
 
 @query(
     "J12 X16",
-    """WITH f AS (SELECT doc_id::VARCHAR AS unit_id, 'user' AS subject, CASE WHEN doc_id % 4 = 0 THEN 'user:unknown' ELSE 'user:u' || doc_id % 20 END AS subject_key, source AS attribute, lang AS value_kind, 'v' || doc_id % 3 AS canonical, 50 + doc_id % 40 AS confidence FROM documents WHERE doc_id % 3 = 0),
+    """WITH f AS (SELECT doc_id::VARCHAR AS unit_id, 'user' AS subject, CASE WHEN doc_id % 4 = 0 THEN 'user:unknown' ELSE 'user:u' || doc_id % 20 END AS subject_key, source AS attribute, lang AS value_kind, 'v' || doc_id % 3 AS canonical, 50 + doc_id % 40 AS confidence FROM documents),
     p AS (SELECT a.unit_id, b.unit_id AS other_id, (CASE WHEN a.subject_key = b.subject_key THEN 20 ELSE 0 END + CASE WHEN a.value_kind = b.value_kind THEN 5 ELSE 0 END + CASE WHEN a.canonical = b.canonical THEN 2 ELSE 0 END + a.confidence + b.confidence)::BIGINT AS score
       FROM f a JOIN f b ON a.subject = b.subject AND a.attribute = b.attribute AND a.unit_id <> b.unit_id AND (a.subject_key = b.subject_key OR ends_with(a.subject_key, ':unknown') OR ends_with(b.subject_key, ':unknown')))
     SELECT unit_id, max(score) AS score, arg_max(other_id, (score, other_id)) AS other_id FROM p GROUP BY 1""",
 )
 def best_fact_pairs(t: Tables):
     d = F.col("doc_id")
-    facts = t.documents.where("doc_id % 3 = 0").select(
+    rows = t.documents.select(
         d.cast("string").alias("unit_id"), F.lit("user").alias("subject"), F.when(d % 4 == 0, "user:unknown").otherwise(F.concat(F.lit("user:u"), d % 20)).alias("subject_key"),
         F.col("source").alias("attribute"), F.col("lang").alias("value_kind"), F.concat(F.lit("v"), d % 3).alias("canonical"), (50 + d % 40).alias("confidence"),
     )
-    return correction.best_fact_pairs(facts, facts).select("unit_id", F.col("score").cast("long").alias("score"), "other_id")
+    return correction.best_fact_pairs(rows, rows).select("unit_id", F.col("score").cast("long").alias("score"), "other_id")
 
 
 @query("X19")
@@ -603,10 +604,12 @@ def batch_reconcile(t: Tables):
 )
 def correction_candidates(t: Tables):
     """For every fiftieth unit the best eight earlier units of the same user."""
-    u = t.units.where("level = 1 and memory_type = 'factual'").select("id", "doc_id", "user_id", "content", "keywords", "transaction_time", F.col("source").alias("stream"))
-    new = correction.lookup_terms(u.where("doc_id % 50 = 1"))
+    cols = ["id", "doc_id", "user_id", "content", "keywords", "transaction_time", F.col("source").alias("stream")]
+    u = t.units.where("level = 1 and memory_type = 'factual'").select(*cols)
+    new = written(correction.lookup_terms(t.units.where("doc_id % 50 = 0").select(*cols)), "new-units")
+    found = written(correction.candidates(u, new), "candidates")
     new = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
-    pairs = u.join(new, (F.col("user_id") == F.col("n_user_id")) & (F.col("transaction_time") < F.col("n_transaction_time")))
+    pairs = found.withColumnRenamed("new_id", "n_id").join(new, "n_id").join(u, "id")
     score = correction.candidate_score("n_", F.col("content"), F.col("keywords"), F.lit(0.0), F.col("stream") == F.col("n_stream"))
     scored = pairs.select("n_id", "id", "transaction_time", F.round(score, 6).alias("score")).where("score > 0")
     return correction.window_rank(scored, ["n_id"], [F.desc("score"), F.desc("transaction_time"), F.asc("id")]).where("rank < 8").drop("transaction_time")

@@ -30,11 +30,11 @@ def token_count(t: Tables):
     return t.documents.select("doc_id", text.count_tokens("text").alias("n_tokens"))
 
 
-_MIXED = "CASE doc_id % 3 WHEN 0 THEN left(text, 40) || ' 我喜欢香菜' WHEN 1 THEN '日本語のテキスト ' || left(text, 40) ELSE left(text, 40) END"
+_MIXED = "CASE doc_id % 3 WHEN 0 THEN text || ' 我喜欢香菜' WHEN 1 THEN '日本語のテキスト ' || text ELSE text END"
 
 
 def _mixed(t: Tables):
-    d, head = F.col("doc_id"), F.left("text", F.lit(40))
+    d, head = F.col("doc_id"), F.col("text")
     mixed = F.when(d % 3 == 0, F.concat(head, F.lit(" 我喜欢香菜"))).when(d % 3 == 1, F.concat(F.lit("日本語のテキスト "), head)).otherwise(head)
     return t.documents.select("doc_id", mixed.alias("mixed"))
 
@@ -95,11 +95,11 @@ def text_overlap_score(t: Tables):
 
 @query(
     "C12 C13",
-    r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(left(text, 60), '[^\pL\pN\s]', ' ', 'g')), '\s+'), lambda x: x <> '')) AS terms FROM benchmark)
+    r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^\pL\pN\s]', ' ', 'g')), '\s+'), lambda x: x <> '')) AS terms FROM benchmark)
     SELECT doc_id, item_id, len(list_filter(terms, lambda x: contains(lower(d.text), x)))::BIGINT AS score FROM documents d JOIN q ON doc_id % 40 = item_id""",
 )
 def overlay_match_score(t: Tables):
-    q = t.benchmark.select("item_id", text.query_terms(F.left("text", F.lit(60))).alias("terms"))
+    q = t.benchmark.select("item_id", text.query_terms("text").alias("terms"))
     rows = t.documents.join(F.broadcast(q), F.col("doc_id") % 40 == F.col("item_id"))
     return rows.select("doc_id", "item_id", text.overlay_score("terms", "text").alias("score"))
 
@@ -115,9 +115,9 @@ def fingerprint_groups(t: Tables):
     return keyed.groupBy("key_md5").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("C17", """SELECT doc_id, replace(replace(replace(replace(replace('<' || lang || ' & "' || left(text, 30) || '''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""")
+@query("C17", """SELECT doc_id, replace(replace(replace(replace(replace('<' || lang || ' & "' || text || '''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""")
 def xml_escape(t: Tables):
-    raw = F.concat(F.lit("<"), "lang", F.lit(' & "'), F.left("text", F.lit(30)), F.lit("'"))
+    raw = F.concat(F.lit("<"), "lang", F.lit(' & "'), F.col("text"), F.lit("'"))
     return t.documents.select("doc_id", text.xml_escape(raw).alias("escaped"))
 
 
@@ -405,9 +405,9 @@ def label_parsers(t: Tables):
 
 @query(
     "C38",
-    """SELECT source, array_to_string(list(left(text, 200) ORDER BY doc_id), chr(10)) AS context FROM (
-      SELECT *, sum(strlen(left(text, 200)) + 1) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 2000 GROUP BY source""",
+    """SELECT source, array_to_string(list(text ORDER BY doc_id), chr(10)) AS context FROM (
+      SELECT *, sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id) - 1 AS used FROM documents) WHERE used <= 20000 GROUP BY source""",
 )
 def bounded_context(t: Tables):
-    rows = t.documents.select("source", "doc_id", F.left("text", F.lit(200)).alias("piece"))
-    return context.bounded_concat(rows, "source", "doc_id", "piece", 2000).withColumnRenamed("text", "context")
+    rows = t.documents.select("source", "doc_id", F.col("text").alias("piece"))
+    return context.bounded_concat(rows, "source", "doc_id", "piece", 20000).withColumnRenamed("text", "context")

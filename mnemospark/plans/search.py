@@ -14,8 +14,9 @@ from .scalar import tokens_sql
 _DIST = "round(1 / (1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))), 6)"
 
 
-def vector_queries(t: Tables, n: int = 5):
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def vector_queries(t: Tables):
+    """The stated query set: every vector whose id is divisible by 50, against all rows."""
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def text_queries(t: Tables):
@@ -33,7 +34,7 @@ def _vectors(t: Tables):
 
 @query(
     "R1 R19 O3 C4",
-    f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, {_DIST} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)
+    f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, {_DIST} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
     SELECT query_id, id, score, rn - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM h) WHERE rn <= 10""",
 )
 def vector_topk(t: Tables):
@@ -44,7 +45,7 @@ def vector_topk(t: Tables):
     "R1 R18 F4 F5 F8",
     f"""WITH u AS (SELECT * FROM unit_embeddings x WHERE embedding IS NOT NULL AND memory_type = 'procedural' AND valid_time >= TIMESTAMP '2024-01-02'
       AND NOT EXISTS (SELECT 1 FROM tombstones d WHERE d.target_kind = 'memory_unit' AND d.target_id = x.id)),
-    h AS (SELECT q.vec_id AS query_id, e.id, {_DIST} AS sim, importance, transaction_time FROM u e, embeddings q WHERE q.vec_id < 5),
+    h AS (SELECT q.vec_id AS query_id, e.id, {_DIST} AS sim, importance, transaction_time FROM u e, embeddings q WHERE q.vec_id % 50 = 0),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM h)
     SELECT query_id, id, round(sim + importance * 0.2 + 0.1 * pow(0.5, date_diff('second', transaction_time, TIMESTAMP '2024-01-31') / 604800.0), 6) AS score FROM k WHERE rn <= 10""",
     "units unit_embeddings tombstones",
@@ -135,7 +136,7 @@ def hybrid_search(t: Tables):
 @query("R12 R13 R14 R17 U4 J3")
 def shared_search(t: Tables):
     """Native hits with organization records for users that consume them."""
-    q = both_queries(t).where("query_id % 4 = 0")
+    q = both_queries(t).where("query_id % 50 = 0")
     u = t.unit_embeddings
     native = retrieval.hybrid(u, analytics.unit_edges(t), q, t.as_of, 10, 1, 0.3, 0.42, 0.30)
     native = native.select("query_id", "id", "score").join(u.select("id", "embedding"), "id")
@@ -150,35 +151,35 @@ _TERMS = r"list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRS
 
 @query(
     "R14 R15",
-    rf"""WITH q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benchmark WHERE item_id % 4 = 0),
+    rf"""WITH q AS (SELECT item_id AS query_id, {_TERMS} AS terms FROM benchmark WHERE item_id % 50 = 0),
     r AS (SELECT id, translate(content || ' ' || lang || ' ' || source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS hay FROM units WHERE level = 2),
     s AS (SELECT query_id, id, round(len(list_filter(terms, lambda x: contains(hay, x))) / len(terms)::DOUBLE, 6) AS score FROM q, r)
     SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM s WHERE score >= 0.01) WHERE rn <= 10""",
     "units",
 )
 def org_text_search(t: Tables):
-    q = text_queries(t).where("query_id % 4 = 0")
+    q = text_queries(t).where("query_id % 50 = 0")
     return retrieval.organization_scores(t.units.where("level = 2"), q, 10, 0.01).select("query_id", "id", "score")
 
 
 @query(
     "W10 R10",
-    f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, {_DIST} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id),
+    f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS id, {_DIST} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn, lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nx FROM h)
     SELECT query_id, round(score - nx, 6) AS gap, score - nx < 0.02 AS arbitrate FROM k WHERE rn = 1""",
 )
 def arbitration_trigger(t: Tables):
-    hits = retrieval.vector_top_k(_vectors(t), vector_queries(t, 20), 3).where(F.col("id") != F.col("query_id").cast("string"))
+    hits = retrieval.vector_top_k(_vectors(t), vector_queries(t), 3).where(F.col("id") != F.col("query_id").cast("string"))
     return retrieval.needs_arbitration(hits, 0.02)
 
 
 @query(
     "G7 G8 G9",
-    f"""WITH h AS (SELECT q.vec_id::VARCHAR AS source_id, e.vec_id::VARCHAR AS target_id, {_DIST} AS weight FROM embeddings e, embeddings q WHERE q.vec_id % 10 = 0)
+    f"""WITH h AS (SELECT q.vec_id::VARCHAR AS source_id, e.vec_id::VARCHAR AS target_id, {_DIST} AS weight FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
     SELECT source_id, target_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id) AS rn FROM h) WHERE rn <= 5 AND weight > 0.42 AND source_id <> target_id""",
 )
 def auto_link_edges(t: Tables):
-    new = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    new = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.auto_links(_vectors(t), new, 5, 0.42).select("source_id", "target_id", "weight")
 
 
@@ -267,11 +268,11 @@ def feedback_weights(t: Tables):
 
 @query(
     "R24 T17",
-    """WITH c AS (SELECT doc_id % 50 AS g, doc_id::VARCHAR AS id FROM labels WHERE quality = 1 AND doc_id % 5 = 0), p AS (SELECT a.id AS source_id, b.id AS target_id, count(*) AS times FROM c a JOIN c b USING (g) WHERE a.id <> b.id GROUP BY 1, 2)
+    """WITH c AS (SELECT doc_id // 20 AS g, doc_id::VARCHAR AS id FROM labels WHERE quality = 1), p AS (SELECT a.id AS source_id, b.id AS target_id, count(*) AS times FROM c a JOIN c b USING (g) WHERE a.id <> b.id GROUP BY 1, 2)
     SELECT source_id, target_id, round(least(1.0, 0.1 * times), 6)::DOUBLE AS weight FROM p""",
 )
 def reinforced_edges(t: Tables):
-    cited = t.labels.where("quality = 1 and doc_id % 5 = 0").select((F.col("doc_id") % 50).alias("g"), F.col("doc_id").cast("string").alias("id"))
+    cited = t.labels.where("quality = 1").select(F.floor(F.col("doc_id") / 20).alias("g"), F.col("doc_id").cast("string").alias("id"))
     none = t.edges.where(F.lit(False))
     return retrieval.reinforced_edges(cited, none, "g").select("source_id", "target_id", "weight")
 
