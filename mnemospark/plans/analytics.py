@@ -603,10 +603,11 @@ def batch_reconcile(t: Tables):
     None,
 )
 def correction_candidates(t: Tables):
-    """For every fiftieth unit the best eight earlier units of the same user."""
+    """For a stated set of new units, one in fifty (ids divisible by 50 are insights, which are
+    not corrected), the best eight of all earlier units of the same user."""
     cols = ["id", "doc_id", "user_id", "content", "keywords", "transaction_time", F.col("source").alias("stream")]
     u = t.units.where("level = 1 and memory_type = 'factual'").select(*cols)
-    new = written(correction.lookup_terms(t.units.where("doc_id % 50 = 0").select(*cols)), "new-units")
+    new = written(correction.lookup_terms(u.where("doc_id % 50 = 1")), "new-units")
     found = written(correction.candidates(u, new), "candidates")
     new = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
     pairs = found.withColumnRenamed("new_id", "n_id").join(new, "n_id").join(u, "id")
