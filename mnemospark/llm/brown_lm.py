@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
+from .batches import pieces, send_small
 
 SAMPLE_TEXTS = 4000  # expected size of the sample that the vocabulary comes from
 HEAD_WORDS = 65536
@@ -153,7 +154,7 @@ class Model:
 
 def _sampled_words(batches):
     seen: dict[bytes, int] = {}
-    for batch in batches:
+    for batch in pieces(batches):
         for text in batch.column(0).to_pylist():
             for w in words(text):
                 seen[w] = seen.get(w, 0) + 1
@@ -180,7 +181,7 @@ def _tally(held):
         size = vocabulary.n_states
         pairs, heads = np.zeros(size * size, np.int64), np.zeros(len(vocabulary.head), np.int64)
         names = ["a", "b", "n", "key", "word", "train"]
-        for batch in batches:
+        for batch in pieces(batches):
             keys, ws, ns, trains = [], [], [], []
             for key, text, train in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, states, rare = vocabulary.read(text)
@@ -273,6 +274,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` of every
     row; ``train`` is the boolean column that marks the rows to learn from. Scores are log10
     probabilities of the whole text."""
+    send_small(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
@@ -283,7 +285,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = list(zip(*map(held.value.score, batch.column(2).to_pylist()))) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces, send_small
+
 # The phrases every scan counts, with their labels.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -162,7 +164,7 @@ def scan(text: str | None) -> tuple:
 def _scans(batches):
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.float64()]
     names = ["id", *(x.split()[0] for x in FIELDS.split(", "))]
-    for batch in batches:
+    for batch in pieces(batches):
         rows = list(zip(*map(scan, batch.column(1).to_pylist()))) or [[]] * len(kinds)
         columns = [pa.array(v, k) for v, k in zip(rows, kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -172,6 +174,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: word and base counts, labels, a score from 0 (no sign of a
     licence) to 1 (a valid expression), the expressions found in postfix order, and
     ``freedom``, that of the strictest licence found (null: none found)."""
+    send_small(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scans, f"id {kind}, {FIELDS}").withColumnRenamed("id", id_col)

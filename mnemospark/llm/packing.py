@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import gapless_rank, written
+from .batches import pieces as small, send_small
 
 WIDTH = 1024
 END_ID = 0
@@ -31,13 +32,19 @@ _BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 
 @lru_cache(None)
-def _encoders(path: str):
+def _exact(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(None)
+def _quick(path: str):
+    """The same ranks in the faster encoder, and the texts of special tokens."""
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = {x["content"] for x in spec.get("added_tokens", ())}
@@ -46,18 +53,17 @@ def _encoders(path: str):
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
     ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
-    quick = tiktoken.Encoding("piece", pat_str=_BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, quick, added
+    return tiktoken.Encoding("piece", pat_str=_BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text by the tokenizer file at ``path`` (byte-level BPE), then ``END_ID``."""
-    exact, quick, added = _encoders(path)
+    quick, added = _quick(path)
     out = []
     for text in texts:
         text = text or ""
         if _PLAIN.search(text) or any(x in text for x in added):
-            ids = exact.encode(text, add_special_tokens=False).ids
+            ids = _exact(path).encode(text, add_special_tokens=False).ids
         else:
             ids = quick.encode_ordinary(text)
         ids.append(END_ID)
@@ -69,7 +75,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """``(doc_id, start, length, ids_crc32, doc_tokens)``: each document cut every ``width`` ids."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids = encode(batch.column(1).to_pylist(), path)
             rows = [
                 (n, s, min(width, len(x) - s), zlib.crc32(x[s : s + width].tobytes()), len(x))
@@ -82,6 +88,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
+    send_small(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.components import connected_components
 from ..functions.shared import written
+from .batches import pieces, send_small
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -68,7 +69,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"]
@@ -77,6 +78,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` per row; ``fp`` is the fingerprint as a signed long."""
+    send_small(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, f"id {kind}, fp long")

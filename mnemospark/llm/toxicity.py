@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
+from .batches import pieces, send_small
 
 MAX_TOXIC = 4000
 MAX_ORDINARY = 12000
@@ -93,7 +94,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
 
 def _signed(batches):
     """The least hash of each text's three-word shingles, under two seeds."""
-    for batch in batches:
+    for batch in pieces(batches):
         signs = ([], [])
         for text in batch.column(2).to_pylist():
             ws = words(text)
@@ -107,7 +108,7 @@ def _signed(batches):
 
 def _counts(batches):
     """Texts by class and expression (``v`` null), and expressions with the word before."""
-    for batch in batches:
+    for batch in pieces(batches):
         texts: dict[tuple[int, str], int] = {}
         pairs = set()
         for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -126,6 +127,7 @@ def _counts(batches):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from ``labels`` (``id_col``, ``toxic`` 0 or 1) joined to ``docs``. Every third row
     of the sample, by a hash of its id, fits the curve instead of the counts."""
+    send_small(docs.sparkSession)
     sample = written(_sample(docs, labels, id_col, text_col), "toxic-sample")
     for_curve = F.crc32(F.concat(F.lit("curve"), F.col("id").cast("string")).cast("binary")) % 3 == 0
     counted = sample.where(~for_curve).select("toxic", "text")
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [held.value.evidence(t) for t in batch.column(1).to_pylist()]
             run, whole = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -183,10 +185,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [held.value.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
+    send_small(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(scores, f"doc_id {kind}, score double")
@@ -194,10 +197,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``THRESHOLD``, all columns as they were."""
+    send_small(docs.sparkSession)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ordinary = [held.value.score(t) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ordinary, pa.bool_()))
 
