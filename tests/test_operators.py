@@ -136,7 +136,7 @@ def test_hybrid_drops_same_meaning_and_expands(spark, memory, links):
 
 def test_text_only_without_vectors(spark, memory, links):
     hits = retrieval.hybrid(memory.drop("embedding").withColumn("embedding", F.lit(None).cast("array<float>")), links, queries_of(spark), times.ts(AS_OF), 5, 0)
-    assert {r.id for r in hits.collect()} == {"a", "b", "e"} - set() or hits.count() >= 2
+    assert {r.id for r in hits.collect()} == {"a", "b", "e"}
 
 
 def test_shared_hits_need_consent(spark, memory):
@@ -165,7 +165,7 @@ def test_context_stays_within_budget(spark, memory):
         for budget in (30, 70, 400, 2000):
             r = context.render(hits, "query_id", budget, xml).first()
             assert r.used_tokens <= max(budget, 8) and r.included <= r.matched == 5
-            assert r.truncated == (r.included < 5) or r.truncated
+            assert r.truncated or r.included == 5
     assert context.render(hits, "query_id", 2000, True).first().context.endswith("</memory_context>")
 
 
