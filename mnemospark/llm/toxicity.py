@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 An expression is a word or, for longer words, its first ``STEM`` letters. Each class (toxic,
-ordinary) counts the texts an expression stands in and discounts the count by what a neutral
-expression could gather in one class by chance, among all that are tried; what is left backs
-off from the word to its stem, and to continuation counts (how many different words come
-before) that both classes share. An expression too rare to tell is as likely in either class
-and says nothing. A document is compared by the difference of its two log-likelihoods,
-normalised by length, over the whole text and over its most toxic run of ``RUN`` words; a
-logistic curve, fitted on labelled rows that were not counted, turns both into a score.
+ordinary) counts the texts an expression stands in. The class that an expression speaks for is
+discounted by what a neutral expression could gather there by chance, among all that are
+tried; the other class keeps its count. What is left backs off from the word to its stem, and
+to continuation counts (how many different words come before) that both classes share. An
+expression too rare to tell is as likely in either class and says nothing. A document is
+compared by the difference of its two log-likelihoods, normalised by length, over the whole
+text and over its most toxic run of ``RUN`` words; a logistic curve, fitted on labelled rows
+that were not counted, turns both into a score.
 
 The models come from a bounded sample of labelled rows: at most ``MAX_TOXIC`` and
 ``MAX_ORDINARY`` rows, the smallest by a hash of their id, whole texts. Of sampled texts with
@@ -148,7 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = follows.agg(F.sum("follows")).first()[0]
     known = by_word.where((F.col("n0") > discount[0]) | (F.col("n1") > discount[1])).join(follows, "w")
     shared = BACKOFF * F.col("follows") / pairs
-    toxic, ordinary = [(1 - BACKOFF) * left[c] + shared for c in (1, 0)]
+    raw = [F.col(f"n{c}") / texts[c] for c in (0, 1)]
+    # the class that an expression speaks for is discounted, the other is not
+    speaks = {c: left[c] > raw[1 - c] for c in (0, 1)}
+    toxic, ordinary = [F.when(speaks[c], left[c]).otherwise(raw[c]) + shared for c in (1, 0)]
+    known = known.where(speaks[0] | speaks[1])
     known = known.select("w", F.log(toxic / ordinary).alias("d"))
     model = Model({r["w"]: r["d"] for r in known.collect()})  # each in many sampled texts, so they are few
 
