@@ -1,14 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 An expression is a word or, for longer words, its first ``STEM`` letters. Each class (toxic,
-ordinary) counts the texts an expression stands in. The class that an expression speaks for is
-discounted by what a neutral expression could gather there by chance, among all that are
-tried; the other class keeps its count. What is left backs off from the word to its stem, and
-to continuation counts (how many different words come before) that both classes share. An
-expression too rare to tell is as likely in either class and says nothing. A document is
-compared by the difference of its two log-likelihoods, normalised by length, over the whole
-text and over its most toxic run of ``RUN`` words; a logistic curve, fitted on labelled rows
-that were not counted, turns both into a score.
+ordinary) counts the texts an expression stands in. The counts are discounted as Kneser and Ney
+do, by at most 1 each, and what the discount frees goes to all expressions by continuation
+counts (how many different words come before), which both classes share. Every expression that
+was counted keeps evidence: its difference of log-likelihoods, weighted by how far the gain of
+telling the classes apart by it exceeds what the best of so many expressions gains by chance
+(a smooth share below 1, without a cut). Of a word and its stem the one with more evidence
+speaks; other words say nothing. A document has the evidence of its most toxic run of ``RUN``
+words and the mean over the whole text; a logistic curve, fitted on labelled rows that were not
+counted, turns both into a score.
 
 The models come from a bounded sample of labelled rows: at most ``MAX_TOXIC`` and
 ``MAX_ORDINARY`` rows, the smallest by a hash of their id, whole texts. Of sampled texts with
@@ -17,12 +18,12 @@ independent evidence.
 
 Nulls and empty texts have no words and score as texts without evidence; repeated rows each
 get a row; null labels or ids are not learnt from, nor labels other than 0 and 1 (a row
-labelled both ways is toxic); if either class has no row, every score is 0.
+labelled both ways is toxic); if either class has no row
+or no word, every score is 0.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -38,9 +39,6 @@ from .batches import pieces, send_small
 MAX_TOXIC = 4000
 MAX_ORDINARY = 12000
 RUN = 1
-BACKOFF = 0.05
-LEAST_SHARE = 0.01
-CAUTION = 1.5
 STEM = 5
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -56,7 +54,7 @@ def expressions(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Model:
-    """Log-likelihood difference by expression (others: 0), and the curve's weights."""
+    """Weighted log-likelihood difference by expression (others: 0), and the curve's weights."""
 
     difference: dict[str, float]
     curve: np.ndarray | None = None  # of (1, run, whole)
@@ -141,21 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         *[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     )
     follows = grams.where("v is not null").select("v", "w").distinct().groupBy("w").agg(F.count("*").alias("follows"))
-    types = by_word.count()
-    rarer = min(texts.values()) / sum(texts.values())
-    by_chance = CAUTION * math.log(100 * types) / -math.log(min(rarer, 0.5))
-    discount = [max(by_chance, LEAST_SHARE * texts[c]) for c in (0, 1)]
-    left = [F.greatest(F.col(f"n{c}") - discount[c], F.lit(0.0)) / texts[c] for c in (0, 1)]
-    pairs = follows.agg(F.sum("follows")).first()[0]
-    known = by_word.where((F.col("n0") > discount[0]) | (F.col("n1") > discount[1])).join(follows, "w")
-    shared = BACKOFF * F.col("follows") / pairs
-    raw = [F.col(f"n{c}") / texts[c] for c in (0, 1)]
-    # the class that an expression speaks for is discounted, the other is not
-    speaks = {c: left[c] > raw[1 - c] for c in (0, 1)}
-    toxic, ordinary = [F.when(speaks[c], left[c]).otherwise(raw[c]) + shared for c in (1, 0)]
-    known = known.where(speaks[0] | speaks[1])
-    known = known.select("w", F.log(toxic / ordinary).alias("d"))
-    model = Model({r["w"]: r["d"] for r in known.collect()})  # each in many sampled texts, so they are few
+    found = by_word.join(follows, "w").toPandas()  # the words of a bounded sample
+    n = found[["n0", "n1"]].to_numpy(float)
+    if not n.any(0).all():
+        return Model({})
+    own = dict(zip(found["w"], differences(n, found["follows"].to_numpy(float), texts).tolist()))
+    model = Model({w: d if w.endswith("*") else max((own[x] for x in expressions(w)), key=abs) for w, d in own.items()})
 
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,14 +163,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def differences(n: np.ndarray, follows: np.ndarray, texts: dict[int, int]) -> np.ndarray:
+    """Evidence of each expression from its counts by class and its continuation count."""
+    once, twice = (n == 1).sum(0), (n == 2).sum(0)
+    discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
+    freed = np.minimum(n, discount).sum(0)
+    likely = (np.maximum(n - discount, 0) + freed * (follows / follows.sum())[:, None]) / n.sum(0)
+    share = np.array([texts[0], texts[1]]) / (texts[0] + texts[1])
+    gain = (n * np.log(np.maximum(n, 1) / (n.sum(1, keepdims=True) * share))).sum(1)
+    gain = np.maximum(gain, 0.0)
+    return np.log(likely[:, 1] / likely[:, 0]) * (gain / (gain + np.log(100 * len(n)))) ** 2
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of (1, *x) by Newton's method with a ridge."""
-    x = np.column_stack([np.ones(len(x)), x])
+    """Weights of (1, *x) by Newton's method with a ridge on those of the standardised x."""
+    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+    w[1:] /= scale
+    w[0] -= w[1:] @ mean
     return w
 
 

@@ -411,6 +411,19 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
 
 
+def test_every_counted_expression_keeps_evidence():
+    n = np.array([[0, 1], [0, 5], [0, 9], [150, 0], [100, 15], [1, 0], [2, 1]], float)
+    got = toxicity.differences(n, n.sum(1), {0: 150, 1: 21})
+    assert np.isfinite(got).all() and (got != 0).all() and 0 < got[0] < got[1] < got[2] and got[3] < 0
+
+
+def test_rare_toxic_expressions_are_found_in_a_small_sample(spark):
+    where = SF.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "toxic")
+    held = queries.op7_toxicity(spark, where).where("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted for r in held if r.toxic) >= 12 and not any(r.predicted for r in held if not r.toxic)
+
+
 # --- 8 packing -------------------------------------------------------------------------
 
 
