@@ -8,7 +8,8 @@ country and valid check digits, an e-mail address its domain, a credential its c
 classes. Each permutation is a bijection of its format, so equal values stay linked across
 documents and different ones stay apart; nothing is looked up or joined.
 
-What fails validation (a card by Luhn, a date by the calendar, an address by its octets, an
+A card is sought in every run of whole digit groups of a match, an IBAN at the length of its
+country; what stands beside them stays text. What fails validation (a card by Luhn, a date by the calendar, an address by its octets, an
 IBAN by its remainder) stays as it is, as do dates outside 1900-01-01 to 2101-01-25. A null
 text stays null; empty texts stay empty; repeated rows are alike; other columns are untouched.
 """
@@ -24,7 +25,19 @@ _DAYS = (270, 272)  # the date domain's two halves: 73,440 days from 1900-01-01
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _CREDENTIAL = r"""(?<![A-Za-z0-9_])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_/+-]{6,128}+"""
 _ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_IBAN_ANY = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_SIZED = "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, c in IBAN_LENGTHS.items()
+)
+# words behind an IBAN of its country's length stay outside
+_IBAN = rf"(?<![A-Za-z0-9])(?:{_SIZED})(?![A-Za-z0-9])|{_IBAN_ANY}"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 _ISO_DATE = r"(?<![0-9A-Za-z])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
 _DAY_DATE = r"(?<![0-9A-Za-z])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])"
@@ -136,10 +149,29 @@ def _refilled(value: Column, signs: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
+    """Permute the first and longest run of whole digit groups that is a card; the rest stays."""
+    each = F.sequence(F.lit(1), F.length(value))
+    is_digit = lambda i: F.rlike(F.substr(value, i, F.lit(1)), F.lit("[0-9]"))
+    starts = F.filter(each, lambda i: is_digit(i) & ((i == 1) | ~is_digit(i - 1)))
+    ends = F.reverse(F.filter(each, lambda i: is_digit(i) & ((i == F.length(value)) | ~is_digit(i + 1))))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda j: F.struct(i.alias("i"), (j - i + 1).alias("n")))))
+    runs = F.filter(runs, lambda r: r["n"] >= 13)
+    bare = lambda r: F.translate(F.substr(value, r["i"], r["n"]), " -", "")
+    cards = F.filter(runs, lambda r: F.length(bare(r)).between(13, 19) & (_luhn_sum(bare(r)) % 10 == 0))
+
+    def put(r: Column) -> Column:
+        new = _new_card(F.substr(value, r["i"], r["n"]), key)
+        return F.concat(F.substr(value, F.lit(1), r["i"] - 1), new, F.substr(value, r["i"] + r["n"]))
+
+    # bound to a variable: else the search would be repeated at every mention
+    return F.coalesce(F.get(F.transform(F.slice(cards, F.lit(1), F.lit(1)), put), 0), value)
+
+
+def _new_card(value: Column, key: str) -> Column:
     digits = F.translate(value, " -", "")
     payload = permute_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
     check = F.pmod(10 - _luhn_sum(F.concat(payload, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits) % 10 == 0, _refilled(value, F.concat(payload, check))).otherwise(value)
+    return _refilled(value, F.concat(payload, check))
 
 
 def _iban(value: Column, key: str) -> Column:

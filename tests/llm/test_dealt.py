@@ -341,6 +341,16 @@ def test_what_is_not_valid_stays(spark):
     assert pseudonyms_of(spark, texts) == texts
 
 
+def test_values_with_digits_or_words_beside_them_are_found(spark):
+    card, es, be = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    texts = [f"{card} 05/27", "4111111111111111 123", f"12 {card}", f"{be} BIC GEBABEBB", f"{es} EUR", f"{be} {card}", card, es, be, "4111111111111111"]
+    out = pseudonyms_of(spark, texts)
+    new_card, new_es, new_be, flat = out[6:]
+    assert new_card != card and new_es != es and new_be != be
+    assert out[:6] == [f"{new_card} 05/27", f"{flat} 123", f"12 {new_card}", f"{new_be} BIC GEBABEBB", f"{new_es} EUR", f"{new_be} {new_card}"]
+    assert luhn(flat) and flat == new_card.replace(" ", "")
+
+
 def test_permutations_are_bijections(spark):
     days = spark.range(270 * 272)
     pair = pseudonyms.permute_pair(F.floor(F.col("id") / 272), F.col("id") % 272, (270, 272), "k", "date")
