@@ -23,7 +23,7 @@ ROUNDS = 8
 _DAYS = (270, 272)  # the date domain's two halves: 73,440 days from 1900-01-01
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-_CREDENTIAL = r"""(?<![A-Za-z0-9_])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_/+-]{6,128}+"""
+_CREDENTIAL = r"""(?<![A-Za-z0-9_])(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_/+-]{6,}+"""
 _ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 _IBAN_ANY = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 #: Countries by the length of their IBANs.
@@ -204,9 +204,10 @@ def _date(value: Column, iso: bool, key: str) -> Column:
 
 
 def _behind(value: Column, kept: str, key: str, tweak: str) -> Column:
-    """Keep what ``kept`` matches at the start and permute the rest."""
+    """Keep what ``kept`` matches at the start and permute the rest, 128 signs at a time."""
     head = F.regexp_extract(value, kept, 0)
-    return F.concat(head, permute_text(F.substr(value, F.length(head) + 1), key, tweak))
+    parts = F.regexp_extract_all(F.substr(value, F.length(head) + 1), F.lit("(?s).{1,128}"), F.lit(0))
+    return F.concat(head, F.array_join(F.transform(parts, lambda x: permute_text(x, key, tweak)), ""))
 
 
 def _pseudonym(value: Column, key: str) -> Column:

@@ -351,6 +351,12 @@ def test_values_with_digits_or_words_beside_them_are_found(spark):
     assert luhn(flat) and flat == new_card.replace(" ", "")
 
 
+def test_long_credentials_are_replaced_to_their_end(spark):
+    secret = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300))
+    out = pseudonyms_of(spark, [f"token={secret} end"])[0]
+    assert re.fullmatch("token=[a-z0-9]{300} end", out) and all(secret[i : i + 12] not in out for i in range(289))
+
+
 def test_permutations_are_bijections(spark):
     days = spark.range(270 * 272)
     pair = pseudonyms.permute_pair(F.floor(F.col("id") / 272), F.col("id") % 272, (270, 272), "k", "date")
