@@ -1,31 +1,37 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-An expression is a word or, for longer words, its first ``STEM`` letters. Each class (toxic,
-ordinary) counts the texts an expression stands in. The counts are discounted as Kneser and Ney
-do, by at most 1 each, and what the discount frees goes to all expressions by continuation
-counts (how many different words come before), which both classes share. Every expression that
-was counted keeps evidence: its difference of log-likelihoods, weighted by how far the gain of
-telling the classes apart by it exceeds what the best of so many expressions gains by chance
-(a smooth share below 1, without a cut). Of a word and its stem the one with more evidence
-speaks; other words say nothing. A document has the evidence of its most toxic run of ``RUN``
-words and the mean over the whole text; a logistic curve, fitted on labelled rows that were not
-counted, turns both into a score.
-
-The models come from a bounded sample of labelled rows: at most ``MAX_TOXIC`` and
-``MAX_ORDINARY`` rows, the smallest by a hash of their id, whole texts. Of sampled texts with
-the same least shingle hash, under either of two seeds, one is used: near copies are no
-independent evidence.
+Each class (toxic, ordinary) has an interpolated Kneser-Ney model of the letters of its
+expressions, the distinct words of its texts: a letter given up to ``ORDER - 1`` before it,
+from the word's start. Each class has its own counts and absolute discounts; what a discount
+frees goes to the next shorter history by continuation counts (how many different letters stand
+before), and grams of up to ``SHARED`` letters are counted for both classes together. A rare expression is thus judged by its beginnings and
+endings, an unknown one by the shared counts, which speak for neither class.
+
+Most of a toxic text is ordinary prose, so a toxic text is a mixture: each of its expressions
+comes from the toxic model with probability ``SHARE``, else from the ordinary one. Counts are
+split between the two by expectation maximisation (``ROUNDS`` rounds). The evidence of a text
+is its log-likelihood as a toxic text less that as an ordinary one, normalised by its number of
+expressions and by the square root of that number, and that of its most toxic expression alone
+(one may stand in a long text); a logistic curve turns the three into a score.
+In the curve a toxic row weighs as many ordinary ones as the root of how much rarer it is. It
+is fitted on evidence from models that have not seen the text (``FOLDS`` folds); the
+model that scores has seen the whole sample.
+
+The sample is of labelled rows and bounded: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` rows,
+the smallest by a hash of their id, whole texts. Of sampled texts with the same least shingle
+hash, under either of two seeds, one is used: near copies are no independent evidence.
 
 Nulls and empty texts have no words and score as texts without evidence; repeated rows each
 get a row; null labels or ids are not learnt from, nor labels other than 0 and 1 (a row
-labelled both ways is toxic); if either class has no row
-or no word, every score is 0.
+labelled both ways is toxic). If either class has no row or no word, every score is 0. Letters
+beyond the 4,092 most frequent of the sample count as one unknown letter.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,41 +44,194 @@ from .batches import pieces, send_small
 
 MAX_TOXIC = 4000
 MAX_ORDINARY = 12000
-RUN = 1
-STEM = 5
+ORDER = 4
+SHARED = 1
+SHARE = 0.02
+ROUNDS = 4
+FOLDS = 3
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
+_BITS = 12  # of a letter's code: up to five letters make one 64-bit key
+_UNKNOWN, _START, _END = 1, 2, 3
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def expressions(word: str) -> tuple[str, ...]:
-    return (word, word[:STEM] + "*") if len(word) > STEM else (word,)
+@dataclass
+class Letters:
+    """Codes of letters, the most frequent first."""
+
+    points: np.ndarray  # code points in the order of their codes, from 4 on
+    _table: np.ndarray | None = field(default=None, repr=False)
+
+    def keys(self, expressions: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of every letter and every end: the number of its expression, the length of its
+        history with itself (at most ``ORDER``), and for each length up to that the key of the
+        last so many letters."""
+        if self._table is None:
+            self._table = np.full(0x110000, _UNKNOWN, np.int64)
+            self._table[self.points] = np.arange(4, 4 + len(self.points))
+        line = "".join(expressions).encode("utf-32-le", "surrogatepass")
+        sizes = np.fromiter(map(len, expressions), np.int64, len(expressions)) + 2
+        ends = np.cumsum(sizes)
+        codes = np.empty(int(sizes.sum()), np.int64)
+        inner = np.ones(len(codes), bool)
+        inner[ends - sizes] = inner[ends - 1] = False
+        codes[inner] = self._table[np.frombuffer(line, np.uint32)]
+        codes[ends - sizes], codes[ends - 1] = _START, _END
+        owner = np.repeat(np.arange(len(expressions)), sizes)
+        at = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+        keys, long = [codes], codes
+        for n in range(1, ORDER):
+            long = long.copy()
+            long[n:] += codes[:-n] << (_BITS * n)
+            keys.append(long)
+        said = at > 0
+        return owner[said], np.minimum(at[said] + 1, ORDER), [k[said] for k in keys]
+
+    def __getstate__(self):
+        return {"points": self.points, "_table": None}
+
+
+def _shorter(keys: np.ndarray, length: int) -> np.ndarray:
+    return keys & ((1 << (_BITS * (length - 1))) - 1)
+
+
+class Grams:
+    """All letter histories of a list of expressions, by length, with what they lead to."""
+
+    def __init__(self, letters: Letters, expressions: list[str]):
+        self.owner, self.length, keys = letters.keys(expressions)
+        self.expressions = len(expressions)
+        self.own, self.at, self.below, self.context, self.contexts = {}, {}, {}, {}, {}
+        longer = np.empty(0, np.int64)
+        for n in range(ORDER, 0, -1):
+            whole = self.length == n  # nothing stands before these
+            self.own[n], back = np.unique(np.concatenate((keys[n - 1][whole], _shorter(longer, n + 1))), return_inverse=True)
+            self.at[n] = np.flatnonzero(whole), back[: whole.sum()].astype(np.int32)
+            self.below[n + 1] = back[whole.sum() :].astype(np.int32)
+            self.contexts[n], self.context[n] = np.unique(self.own[n] >> _BITS, return_inverse=True)
+            longer = self.own[n]
+
+    def counts(self, n: np.ndarray) -> dict[int, np.ndarray]:
+        """Kneser-Ney counts by length of ``n`` texts an expression: texts at full length and
+        from a word's start, else how many different letters come before."""
+        out = {}
+        for length in range(ORDER, 0, -1):
+            where, gram = self.at[length]
+            out[length] = np.bincount(gram, n[self.owner[where]], len(self.own[length]))
+            if length < ORDER:
+                out[length] = out[length] + np.bincount(self.below[length + 1], out[length + 1] > 0, len(self.own[length]))
+        return out
+
+    def likely(self, counts: dict[int, np.ndarray], shared: dict[int, np.ndarray], letters: int):
+        """Probabilities of the grams by length, and the weights of shorter histories."""
+        p, weight = {0: np.array([1.0 / letters])}, {}
+        for length in range(1, ORDER + 1):
+            c = shared[length] if length <= SHARED else counts[length]
+            once, twice = (c == 1).sum(), (c == 2).sum()
+            discount = once / (once + 2 * twice) if once else 0.5
+            size = len(self.contexts[length])
+            total = np.bincount(self.context[length], c, size)
+            freed = np.bincount(self.context[length], np.minimum(c, discount), size)
+            seen = total > 0
+            weight[length] = np.where(seen, freed / np.where(seen, total, 1), 1.0)
+            held = np.maximum(c - discount, 0) / np.where(seen, total, 1)[self.context[length]]
+            lower = p[length - 1][self.below[length]] if length > 1 else p[0][0]
+            p[length] = held + weight[length][self.context[length]] * lower
+        return p, weight
+
+
+@dataclass
+class Table:
+    """Log-likelihood ratio of each gram by length, and of the weights of its histories."""
+
+    ratios: dict[int, tuple[np.ndarray, np.ndarray]]
+    weights: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def of(self, letters: Letters, expressions: list[str]) -> np.ndarray:
+        owner, length, keys = letters.keys(expressions)
+        total = np.zeros(len(owner))
+        left = np.arange(len(owner))
+        for n in range(ORDER, SHARED, -1):
+            now = left[length[left] >= n]
+            gram, value = self.ratios[n]
+            found, place = _find(gram, keys[n - 1][now])
+            total[now[found]] += value[place]
+            lost = now[~found]
+            context, weight = self.weights[n]
+            known, place = _find(context, keys[n - 1][lost] >> _BITS)
+            total[lost[known]] += weight[place]
+            left = np.concatenate((left[length[left] < n], lost))
+        return np.bincount(owner, total, len(expressions))
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    found = table[place] == keys if len(table) else np.zeros(len(keys), bool)
+    return found, place[found]
+
+
+def mixed(ratio: np.ndarray) -> np.ndarray:
+    """Log of a toxic text's probability of an expression over an ordinary text's."""
+    return np.log1p(SHARE * np.expm1(np.minimum(ratio, 50.0)))
+
+
+def estimate(grams: Grams, n: np.ndarray, letters: int) -> Table:
+    """Class models of ``n`` (ordinary, toxic) texts an expression, after ``ROUNDS`` rounds of
+    moving the ordinary expressions of toxic texts to the ordinary class."""
+    toxic = n[:, 1].astype(float)
+    for last in [False] * ROUNDS + [True]:
+        counts = [grams.counts(n[:, 0] + n[:, 1] - toxic), grams.counts(toxic)]
+        shared, longer = {}, np.zeros(len(grams.below[ORDER + 1]), bool)
+        for length in range(ORDER, 0, -1):
+            where, gram = grams.at[length]
+            shared[length] = np.bincount(gram, n.sum(1)[grams.owner[where]], len(grams.own[length]))
+            shared[length] = shared[length] + np.bincount(grams.below[length + 1], longer, len(grams.own[length]))
+            longer = shared[length] > 0
+        (p0, w0), (p1, w1) = (grams.likely(c, shared, letters) for c in counts)
+        ratio = {k: np.log(p1[k] / p0[k]) for k in range(1, ORDER + 1)}
+        if last:
+            break
+        total = np.zeros(grams.expressions)
+        for length, (where, gram) in grams.at.items():
+            total += np.bincount(grams.owner[where], ratio[length][gram], grams.expressions)
+        odds = SHARE * np.exp(np.minimum(total, 50.0))
+        toxic = np.rint(n[:, 1] * odds / (1 - SHARE + odds))
+    kept = range(SHARED + 1, ORDER + 1)
+    return Table(
+        {k: (grams.own[k], ratio[k]) for k in kept},
+        {k: (grams.contexts[k], np.log(w1[k] / w0[k])) for k in kept},
+    )
 
 
 @dataclass
 class Model:
-    """Weighted log-likelihood difference by expression (others: 0), and the curve's weights."""
-
-    difference: dict[str, float]
-    curve: np.ndarray | None = None  # of (1, run, whole)
-
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Difference per word: of the most toxic run, and of the whole text."""
-        get = self.difference.get
-        diff = np.array([get(w) or (get(w[:STEM] + "*", 0.0) if len(w) > STEM else 0.0) for w in words(text)])
-        if not len(diff):
-            return 0.0, 0.0
-        total = np.concatenate(([0.0], np.cumsum(diff)))
-        n = min(RUN, len(diff))
-        return float((total[n:] - total[:-n]).max() / RUN), float(diff.mean())
-
-    def score(self, text: str | None) -> float:
+    """The class models' ratio table and the weights of the curve; without them all scores are 0."""
+
+    letters: Letters | None = None
+    table: Table | None = None
+    curve: np.ndarray | None = None  # of (1, *evidence)
+
+    def evidence(self, texts: Iterable[str | None], table: Table | None = None) -> np.ndarray:
+        """Three columns by text: its log-likelihood ratio over the number of its expressions,
+        over the root of that number, and the greatest of one expression."""
+        number: dict[str, int] = {}
+        own = [np.array([number.setdefault(w, len(number)) for w in set(words(t))], np.int64) for t in texts]
+        each = mixed((table or self.table).of(self.letters, list(number)))
+        out = np.zeros((len(own), 3))
+        for i, x in enumerate(own):
+            if len(x):
+                ranked = np.sort(each[x])  # sets have no order, and sums depend on it
+                out[i] = ranked.mean(), ranked.sum() / np.sqrt(len(x)), ranked[-1]
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.curve is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ (1.0, *self.evidence(text)), -30, 30))))
+            return np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.evidence(texts) @ self.curve[1:], -30, 30)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,84 +265,78 @@ def _signed(batches):
 
 
 def _counts(batches):
-    """Texts by class and expression (``v`` null), and expressions with the word before."""
+    """Texts by fold, class and expression."""
     for batch in pieces(batches):
-        texts: dict[tuple[int, str], int] = {}
-        pairs = set()
-        for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ws = words(text)
-            for x in {x for w in ws for x in expressions(w)}:
-                texts[c, x] = texts.get((c, x), 0) + 1
-            pairs.update((v, x) for v, w in zip(["", *ws], ws) for x in expressions(w))
-        c, w = [x[0] for x in texts] + [None] * len(pairs), [x[1] for x in texts] + [x[1] for x in pairs]
-        v, n = [None] * len(texts) + [x[0] for x in pairs], [*texts.values(), *[1] * len(pairs)]
+        texts: dict[tuple[int, int, str], int] = {}
+        for fold, c, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for w in set(words(text)):
+                texts[fold, c, w] = texts.get((fold, c, w), 0) + 1
+        fold, c, w = zip(*texts) if texts else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int32()), pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())],
-            names=["toxic", "v", "w", "n"],
+            [pa.array(fold, pa.int32()), pa.array(c, pa.int32()), pa.array(w, pa.string()), pa.array(texts.values(), pa.int64())],
+            names=["fold", "toxic", "w", "n"],
         )
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from ``labels`` (``id_col``, ``toxic`` 0 or 1) joined to ``docs``. Every third row
-    of the sample, by a hash of its id, fits the curve instead of the counts."""
+    """Learn from ``labels`` (``id_col``, ``toxic`` 0 or 1) joined to ``docs``."""
     send_small(docs.sparkSession)
-    sample = written(_sample(docs, labels, id_col, text_col), "toxic-sample")
-    for_curve = F.crc32(F.concat(F.lit("curve"), F.col("id").cast("string")).cast("binary")) % 3 == 0
-    counted = sample.where(~for_curve).select("toxic", "text")
-    texts = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(texts) < 2:
-        return Model({})
-    grams = written(counted.mapInArrow(_counts, "toxic int, v string, w string, n long"), "toxic-grams")
-
-    by_word = grams.where("v is null").groupBy("w").agg(
-        *[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    )
-    follows = grams.where("v is not null").select("v", "w").distinct().groupBy("w").agg(F.count("*").alias("follows"))
-    found = by_word.join(follows, "w").toPandas()  # the words of a bounded sample
-    n = found[["n0", "n1"]].to_numpy(float)
-    if not n.any(0).all():
-        return Model({})
-    own = dict(zip(found["w"], differences(n, found["follows"].to_numpy(float), texts).tolist()))
-    model = Model({w: d if w.endswith("*") else max((own[x] for x in expressions(w)), key=abs) for w, d in own.items()})
-
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string")).cast("binary")), F.lit(FOLDS)).cast("int")
+    sample = written(_sample(docs, labels, id_col, text_col).select(fold.alias("fold"), "toxic", "text"), "toxic-sample")
+    found = sample.mapInArrow(_counts, "fold int, toxic int, w string, n long").groupBy("w")
+    cells = [(f, c) for f in range(FOLDS) for c in (0, 1)]
+    found = found.agg(*[F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == c), F.col("n")).otherwise(0)).cast("int").alias(f"n{f}{c}") for f, c in cells])
+    found = found.orderBy("w").toArrow()  # the words of a bounded sample
+    expressions = found.column("w").to_pylist()
+    n = np.array([found.column(f"n{f}{c}").to_numpy() for f, c in cells], float).reshape(FOLDS, 2, -1).transpose(0, 2, 1)
+    if not n.any((0, 1)).all():
+        return Model()
+    points, times = np.unique(np.frombuffer("".join(expressions).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    letters = Letters(points[np.argsort(-times, kind="stable")][: (1 << _BITS) - 4].astype(np.int64))
+    grams = Grams(letters, expressions)
+    size = len(letters.points) + 2  # with the unknown letter and the end
+    model = Model(letters, estimate(grams, n.sum(0), size))
+    unseen = [estimate(grams, n.sum(0) - n[f], size) for f in range(FOLDS)]
+    held = docs.sparkSession.sparkContext.broadcast((Model(letters), unseen))
 
     def evidence(batches):
         for batch in pieces(batches):
-            found = [held.value.evidence(t) for t in batch.column(1).to_pylist()]
-            run, whole = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(run, pa.float64()), pa.array(whole, pa.float64())], names=["toxic", "run", "whole"]
-            )
-
-    rest = sample.where(for_curve).select("toxic", "text")
-    seen = rest.mapInArrow(evidence, "toxic int, run double, whole double").toPandas()
-    if seen["toxic"].nunique() == 2:
-        model.curve = logistic(seen[["run", "whole"]].to_numpy(), seen["toxic"].to_numpy())
+            bare, tables = held.value
+            folds = batch.column(0).to_numpy()
+            for f in np.unique(folds):
+                part = batch.filter(pa.array(folds == f))
+                own = bare.evidence(part.column(2).to_pylist(), tables[f])
+                columns = [pa.array(own[:, k]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(1), *columns], names=["toxic", "mean", "root", "top"])
+
+    seen = sample.mapInArrow(evidence, "toxic int, mean double, root double, top double").toPandas()
+    held.unpersist()
+    seen = seen.sort_values(["toxic", "mean", "root", "top"])  # the sums of the curve don't depend on partitions
+    model.curve = logistic(seen[["mean", "root", "top"]].to_numpy(), seen["toxic"].to_numpy())
     return model
 
 
-def differences(n: np.ndarray, follows: np.ndarray, texts: dict[int, int]) -> np.ndarray:
-    """Evidence of each expression from its counts by class and its continuation count."""
-    once, twice = (n == 1).sum(0), (n == 2).sum(0)
-    discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
-    freed = np.minimum(n, discount).sum(0)
-    likely = (np.maximum(n - discount, 0) + freed * (follows / follows.sum())[:, None]) / n.sum(0)
-    share = np.array([texts[0], texts[1]]) / (texts[0] + texts[1])
-    gain = (n * np.log(np.maximum(n, 1) / (n.sum(1, keepdims=True) * share))).sum(1)
-    gain = np.maximum(gain, 0.0)
-    return np.log(likely[:, 1] / likely[:, 0]) * (gain / (gain + np.log(100 * len(n)))) ** 2
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of (1, *x) by Newton's method with a ridge on those of the standardised x."""
+    """Weights of (1, *x) by Newton's method, steps halved until they gain, with a ridge on
+    those of the standardised x; both classes must occur."""
     mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
     x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    share = y.mean()
+    each = np.where(y == 1, np.sqrt((1 - share) / share), 1.0)
+
+    def loss(w):
+        return (each * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + ridge / 2 * (w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (each * (y - p)) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
     w[1:] /= scale
     w[0] -= w[1:] @ mean
     return w
@@ -195,8 +348,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def scores(batches):
         for batch in pieces(batches):
-            found = [held.value.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
+            found = held.value.scores(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
     send_small(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -211,8 +364,7 @@ def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     def keep(batches):
         for batch in pieces(batches):
-            ordinary = [held.value.score(t) < THRESHOLD for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(ordinary, pa.bool_()))
+            yield batch.filter(pa.array(held.value.scores(batch.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)
 

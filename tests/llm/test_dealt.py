@@ -427,13 +427,90 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
 
 
-def test_every_counted_expression_keeps_evidence():
-    n = np.array([[0, 1], [0, 5], [0, 9], [150, 0], [100, 15], [1, 0], [2, 1]], float)
-    got = toxicity.differences(n, n.sum(1), {0: 150, 1: 21})
-    assert np.isfinite(got).all() and (got != 0).all() and 0 < got[0] < got[1] < got[2] and got[3] < 0
+def plain_class_models(counts, letters):
+    """Kneser-Ney letter models of two counters of expressions: log-likelihood ratio by word."""
+    order, shared = toxicity.ORDER, toxicity.SHARED
+    grams = [[Counter(), Counter()] for _ in range(order + 1)]
+    for y in (0, 1):
+        for w, n in counts[y].items():
+            s = "^" + w + "$"
+            for i in range(1, len(s)):
+                k = min(order, i + 1)
+                grams[k][y][s[i + 1 - k : i + 1]] += n
+    raw = [[Counter(c) for c in g] for g in grams]
+    for k in range(order - 1, 0, -1):
+        for y in (0, 1):
+            for g, n in grams[k + 1][y].items():
+                grams[k][y][g[1:]] += n > 0
+    both = raw[order][0] + raw[order][1]
+    for k in range(order - 1, 0, -1):
+        both = raw[k][0] + raw[k][1] + Counter(g[1:] for g in both)
+        if k <= shared:
+            grams[k] = [both, both]
+
+    def likely(y, g):
+        if not g:
+            return 1 / letters
+        c = {x: n for x, n in grams[len(g)][y].items() if n}
+        once, twice = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = once / (once + 2 * twice) if once else 0.5
+        follow = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        if not follow:
+            return likely(y, g[1:])
+        return (max(follow.get(g, 0) - d, 0) + sum(min(n, d) for n in follow.values()) * likely(y, g[1:])) / sum(follow.values())
+
+    def ratio(w):
+        s = "^" + w + "$"
+        parts = [s[max(0, i + 1 - order) : i + 1] for i in range(1, len(s))]
+        return sum(math.log(likely(1, g) / likely(0, g)) for g in parts)
+
+    return ratio, likely
+
+
+def plain_ratios(texts):
+    """Class models of (text, toxic) after the rounds of expectation maximisation."""
+    counts = [Counter(), Counter()]
+    for t, y in texts:
+        counts[y].update(set(re.findall(r"[^\W\d_]+", t.lower())))
+    letters = len({c for k in counts for w in k for c in w}) + 2
+    toxic = Counter(counts[1])
+    for _ in range(toxicity.ROUNDS):
+        ratio, _ = plain_class_models([counts[0] + counts[1] - toxic, toxic], letters)
+        odds = {w: toxicity.SHARE * math.exp(ratio(w)) for w in counts[1]}
+        toxic = Counter({w: int(np.rint(n * odds[w] / (1 - toxicity.SHARE + odds[w]))) for w, n in counts[1].items()})
+        toxic = +toxic
+    return plain_class_models([counts[0] + counts[1] - toxic, toxic], letters)
+
+
+def plain_evidence(text, ratio):
+    each = [math.log(1 - toxicity.SHARE + toxicity.SHARE * math.exp(ratio(w))) for w in set(re.findall(r"[^\W\d_]+", text.lower()))]
+    return (sum(each) / len(each), sum(each) / math.sqrt(len(each)), max(each)) if each else (0.0, 0.0, 0.0)
+
+
+def test_toxicity_scores_equal_a_plain_model(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcde", k=rng.randrange(1, 5))) for _ in range(60)]
+    docs = [(i, " ".join(rng.choices(words, k=9) + (["zork"] * (i % 3 == 0)) + [f"u{'v' * (i % 7)}"])) for i in range(36)]
+    labels = [(i, int(i % 3 == 0)) for i in range(30)]
+    d = table(spark, docs)
+    model = toxicity.fit(d, table(spark, labels, "doc_id long, toxic int"))
+    fold = {i: zlib.crc32(f"fold{i}".encode()) % toxicity.FOLDS for i, _ in labels}
+    kept = [r.id for r in toxicity._sample(d, table(spark, labels, "doc_id long, toxic int"), "doc_id", "text").collect()]
+    learnt = [(i, docs[i][1], y) for i, y in labels if i in kept]
+    folds = [plain_ratios([(t, y) for i, t, y in learnt if fold[i] != f])[0] for f in range(toxicity.FOLDS)]
+    seen = sorted((y, *plain_evidence(t, folds[fold[i]])) for i, t, y in learnt)
+    curve = toxicity.logistic(np.array([x[1:] for x in seen]), np.array([x[0] for x in seen]))
+    ratio, likely = plain_ratios([(t, y) for _, t, y in learnt])
+    alphabet = {c for _, t, _ in learnt for c in t if c != " "} | {"$", "?"}  # with an unknown letter
+    for history in ("^", "^a", "^ab", "bc"):  # what a class model says of the next letter sums to one
+        assert all(sum(likely(y, history + c) for c in alphabet) == pytest.approx(1) for y in (0, 1))
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    for i, t in docs:
+        at = curve[0] + np.dot(curve[1:], plain_evidence(t, ratio))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-np.clip(at, -30, 30))), abs=1e-6)
 
 
-def test_rare_toxic_expressions_are_found_in_a_small_sample(spark):
+def test_toxic_rows_held_out_are_found(spark):
     where = SF.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "toxic")
     held = queries.op7_toxicity(spark, where).where("held_out").join(labels, "doc_id").collect()
