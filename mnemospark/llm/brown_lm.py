@@ -1,14 +1,18 @@
 """Language-model scores by a Brown class bigram model.
 
-Words of a vocabulary chosen on a bounded sample are assigned to classes by the exchange
-algorithm over the class-transition counts of all training text; every other word belongs to
-a class of rare words of like length. A text's probability is the product of smoothed
-class-transition and word-emission probabilities, with one end token per text.
-
-Counting covers every training text. Words of the sampled head vocabulary (bounded) are
-counted as one array a task; all others travel as ``(hash, text, count)`` rows and meet their
-total in a shuffled join, so nothing that grows with the corpus reaches the driver. The head
-only decides which road a word's count takes, not its value.
+All training text is counted. Every word seen at least ``LEAST`` times there, the ``HEAD_WORDS``
+most frequent of them, is assigned to a class: the ``CORE`` most frequent by the exchange
+algorithm over their class-transition counts, all others in ``ROUNDS`` rounds, each word to the
+class that the classes before and behind it in all training text speak for (the first order of
+the exchange's gain). The number of classes grows with the root of the number of words. Rarer
+and unknown words belong to a class of words of like length. A text's probability is the product
+of smoothed class-transition and word-emission probabilities, with one end token per text.
+
+``HEAD_WORDS`` bounds what is broadcast; it decides which words have a class of their own
+context, not which are counted. Each word's neighbours are one list a task, shuffled once by the
+word; a round is one pass over them. Counts of the other words travel as ``(text, word, count)``
+rows and meet their total in a shuffled join, so nothing that grows with the corpus reaches the
+driver but the head and the classes.
 
 Nulls count as empty texts (one end token); repeated rows are scored one by one; without any
 training text all counts are zero. Only the id and text columns are read.
@@ -16,24 +20,26 @@ training text all counts are zero. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
 from .batches import pieces, send_small
 
-SAMPLE_TEXTS = 4000  # expected size of the sample that the vocabulary comes from
-HEAD_WORDS = 65536
-CLUSTERED = 512
-CLASSES = 48
+HEAD_WORDS = 262144
+LEAST = 3
+CORE = 1024
+ROUNDS = 3
 SHAPES = 8
 ADD = 0.1
 PULL = 4.0  # pseudo-count of the class unigrams in a transition
+_FLUSH = 4_000_000  # different pairs of neighbours or words that a task holds
 
 
 def words(text: str | None) -> list[bytes]:
@@ -44,35 +50,25 @@ def shape(word: bytes) -> int:
     return min(len(word) // 3, SHAPES - 1)
 
 
-def tail_key(word: bytes) -> int:
-    """Signed 64-bit key of a rare word; its three low bits are the shape."""
-    key = xxhash.xxh64_intdigest(word, 42) & ~(SHAPES - 1) | shape(word)
-    return key - (1 << 64) if key >> 63 else key
-
-
 @dataclass
 class Vocabulary:
-    """Head words by frequency in the sample, and the state each stands for: itself if it is
-    clustered, else its shape; the last state is the end of a text."""
+    """Head words by frequency. A state is a head word, else one of the shapes of other words;
+    the last state is the end of a text."""
 
     head: dict[bytes, int]
-    states: np.ndarray = field(init=False)
+    n_states: int = field(init=False)
 
     def __post_init__(self):
-        self.n_states = CLUSTERED + SHAPES + 1
-        self.states = np.array([i if i < CLUSTERED else CLUSTERED + shape(w) for w, i in self.head.items()], np.int64)
+        self.n_states = len(self.head) + SHAPES + 1
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Head numbers (-1: rare), states, and the rare words of a text."""
+    def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """States, and the words that are not of the head."""
         ws, get = words(text), self.head.get
-        ids = np.array([get(w, -1) for w in ws], np.int64)
-        states = np.full(len(ws), -1, np.int64)
-        known = ids >= 0
-        states[known] = self.states[ids[known]]
-        at = np.flatnonzero(~known).tolist()
+        states = np.array([get(w, -1) for w in ws], np.int64)
+        at = np.flatnonzero(states < 0).tolist()
         rare = [ws[i] for i in at]
-        states[at] = [CLUSTERED + shape(w) for w in rare]
-        return ids, states, rare
+        states[at] = [len(self.head) + shape(w) for w in rare]
+        return states, rare
 
 
 def exchange(counts: np.ndarray, movable: int, classes: int, rounds: int = 8) -> np.ndarray:
@@ -130,143 +126,236 @@ class Model:
     train_texts: int
     train_tokens: int
     types: int
-    transition: np.ndarray  # log10, state to state through their classes
-    emission: np.ndarray  # log10 by head word, without the numerator of rare classes
-    rare_total: np.ndarray  # log10 of the emission denominators of the shapes
     classes: np.ndarray  # by state
+    transition: np.ndarray  # log10, class to class
+    emission: np.ndarray  # log10 by state; of the shapes without the word's own part
 
     def score(self, text: str | None) -> tuple[int, int, float, float]:
         """Tokens, known ones, base and model log10 probability, both without rare words'
         own part (the sum of log10(count + ADD) over them)."""
-        ids, states, rare = self.vocabulary.read(text)
-        end = self.vocabulary.n_states - 1
-        path = np.concatenate(([end], states, [end]))
-        seen = ids[ids >= 0]
-        counts = self.head_counts[seen]
-        n = len(ids) + 1
+        states, _ = self.vocabulary.read(text)
+        size = len(self.vocabulary.head)
+        counts = self.head_counts[states[states < size]]
+        n = len(states) + 1
         base = np.log10(counts + ADD).sum() + np.log10(self.train_texts + ADD)
         base -= n * np.log10(self.train_tokens + ADD * (self.types + 1))
-        model = self.transition[path[:-1], path[1:]].sum() + self.emission[seen].sum()
-        model -= self.rare_total[states[ids < 0] - CLUSTERED].sum()
-        known = int((counts > 0).sum()) + (self.train_texts > 0)
-        return n, known, float(base), float(model)
+        path = self.classes[np.concatenate(([-1], states, [-1]))]
+        model = self.transition[path[:-1], path[1:]].sum() + self.emission[states].sum()
+        return n, len(counts) + (self.train_texts > 0), float(base), float(model)
 
 
-def _sampled_words(batches):
-    seen: dict[bytes, int] = {}
-    for batch in pieces(batches):
-        for text in batch.column(0).to_pylist():
-            for w in words(text):
-                seen[w] = seen.get(w, 0) + 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"]
-    )
+def _word_counts(batches):
+    """Words and their number, some at a time."""
 
+    def rows(seen):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"]
+        )
 
-def choose_vocabulary(train: DataFrame) -> Vocabulary:
-    """The ``HEAD_WORDS`` most frequent words of a hash sample of about ``SAMPLE_TEXTS``."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, train.count()))
-    sample = train.where(F.pmod(F.xxhash64(F.lit("head"), "key"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    found = sample.select("text").mapInArrow(_sampled_words, "word binary, n long")
-    found = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    return Vocabulary({bytes(r["word"]): i for i, r in enumerate(found.collect())})
+    seen: Counter[bytes] = Counter()
+    for batch in pieces(batches):
+        for text in batch.column(0).to_pylist():
+            seen.update(words(text))
+        if len(seen) > _FLUSH // 8:
+            yield rows(seen)
+            seen = Counter()
+    yield rows(seen)
 
 
 def _tally(held):
-    """Rows (a, b, n): a >= 0 a state followed by state b; a = -1 head word b. Rows with a
-    key: a rare word's key and count in that text; without one, a mark for each text."""
+    """Rows with a ``state``: its neighbours behind it (``after``) or before it and how often
+    they are. Rows with a ``key``: a rare word and its count in that text; without a word, a
+    mark for each text."""
+    names = ["state", "after", "near", "times", "key", "word", "n"]
+    kinds = [pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int64()]
+
+    def lists(pairs, size):
+        codes, times = pairs
+        for after in (True, False):
+            own, near = codes // size, codes % size
+            if not after:
+                order = np.argsort(near, kind="stable")
+                own, near, times = near[order], own[order], times[order]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            cuts = pa.array(np.append(first, len(own)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[first], kinds[0]), pa.array(np.full(len(first), after))]
+                + [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (near, times)]
+                + [pa.nulls(len(first), k) for k in kinds[4:]],
+                names=names,
+            )
 
     def run(batches):
         vocabulary: Vocabulary = held.value
         size = vocabulary.n_states
-        pairs, heads = np.zeros(size * size, np.int64), np.zeros(len(vocabulary.head), np.int64)
-        names = ["a", "b", "n", "key", "word", "train"]
+        fresh, waiting = [], 0
+        pairs = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def merged():
+            codes, times = np.unique(np.concatenate([*fresh, np.empty(0, np.int64)]), return_counts=True)
+            both, at = np.unique(np.concatenate((pairs[0], codes)), return_inverse=True)
+            return both, np.bincount(at, np.concatenate((pairs[1], times)), len(both)).astype(np.int64)
+
         for batch in pieces(batches):
-            keys, ws, ns, trains = [], [], [], []
+            keys, ws, ns = [], [], []
             for key, text, train in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, states, rare = vocabulary.read(text)
+                states, rare = vocabulary.read(text)
                 if train:
                     path = np.concatenate(([size - 1], states, [size - 1]))
-                    np.add.at(pairs, path[:-1] * size + path[1:], 1)
-                    np.add.at(heads, ids[ids >= 0], 1)
-                times: dict[bytes, int] = {}
-                for w in rare:
-                    times[w] = times.get(w, 0) + 1
+                    fresh.append(path[:-1] * size + path[1:])
+                    waiting += len(path)
+                times = Counter(rare)
                 ws.append(None)
-                ws.extend(map(tail_key, times))
+                ws.extend(times)
                 ns.append(1)
                 ns.extend(times.values())
                 keys.extend([key] * (len(times) + 1))
-                trains.extend([train] * (len(times) + 1))
-            none = pa.nulls(len(keys), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(ws, pa.int64()), pa.array(trains, pa.bool_())],
-                names=names,
-            )
-        at, b = np.flatnonzero(pairs), np.flatnonzero(heads)
-        a = np.concatenate((at // size, np.full(len(b), -1)))
-        none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.bool_())]
-        n = np.concatenate((pairs[at], heads[b]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int32()), pa.array(np.concatenate((at % size, b)), pa.int32()), pa.array(n, pa.int64()), *none],
-            names=names,
-        )
+            columns = [pa.array(keys, kinds[4]), pa.array(ws, kinds[5]), pa.array(ns, kinds[6])]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(keys), k) for k in kinds[:4]), *columns], names=names)
+            if waiting > _FLUSH // 4:
+                pairs, fresh, waiting = merged(), [], 0
+                if len(pairs[0]) > _FLUSH:
+                    yield from lists(pairs, size)
+                    pairs = np.empty(0, np.int64), np.empty(0, np.int64)
+        yield from lists(merged(), size)
+
+    return run
+
+
+def _by_class(held, result):
+    """One round over some states' neighbours: ``result`` of the states, and of how often each
+    class stands before (row 0) and behind (row 1) them."""
+
+    def run(batches):
+        classes = held.value
+        k = int(classes.max()) + 1
+        number: dict[int, int] = {}
+        sums = np.zeros((0, 2 * k))
+        for batch in pieces(batches, 20000):
+            state, after, near, times = (batch.column(i) for i in range(4))
+            own = np.array([number.setdefault(x, len(number)) for x in state.to_pylist()], np.int64)
+            if len(number) > len(sums):
+                sums = np.concatenate((sums, np.zeros((max(len(sums), len(number) - len(sums), 256), 2 * k))))
+            cell = np.repeat(own * 2 + after.to_numpy(zero_copy_only=False), near.value_lengths().to_numpy())
+            cell = cell * k + classes[near.flatten().to_numpy()]
+            sums += np.bincount(cell, times.flatten().to_numpy(), sums.size).reshape(sums.shape)
+        yield from result(np.array(list(number), np.int64), sums[: len(number)].reshape(-1, 2, k))
 
     return run
 
 
+def _gathered(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Transitions from class to class."""
+    k = int(classes.max()) + 1
+    held = contexts.sparkSession.sparkContext.broadcast(classes)
+
+    def result(states, sums):
+        own = np.zeros((k, k))
+        np.add.at(own, held.value[states], sums[:, 1])
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.ravel()[at].astype(np.int64))], names=["cell", "n"])
+
+    cells = contexts.where("after").mapInArrow(_by_class(held, result), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = cells.toPandas()  # classes by classes
+    held.unpersist()
+    out = np.zeros(k * k)
+    out[found["cell"].to_numpy(np.int64)] = found["n"]
+    return out.reshape(k, k)
+
+
+def _assigned(contexts: DataFrame, classes: np.ndarray, movable: range, n_classes: int) -> np.ndarray:
+    """Classes after each of the ``movable`` states went where its neighbours' classes are
+    likeliest to be neighbours (ties: the lower class)."""
+    between = _gathered(contexts, classes) + ADD
+    behind = np.log(between / between.sum(1, keepdims=True))[:n_classes]  # class behind, by class
+    before = np.log(between / between.sum(0, keepdims=True))[:, :n_classes].T
+    held = contexts.sparkSession.sparkContext.broadcast(classes)
+
+    def result(states, sums):
+        best = np.argmax(sums[:, 0] @ before.T + sums[:, 1] @ behind.T, axis=1) if len(states) else states
+        yield pa.RecordBatch.from_arrays([pa.array(states), pa.array(best, pa.int64())], names=["state", "class"])
+
+    wanted = contexts.where(F.col("state").between(movable.start, movable.stop - 1))
+    found = wanted.mapInArrow(_by_class(held, result), "state long, class long").toPandas()  # head words at most
+    held.unpersist()
+    out = classes.copy()
+    out[found["state"].to_numpy(np.int64)] = found["class"]
+    return out
+
+
+def n_classes(head: int) -> int:
+    return max(1, min(head, round(math.sqrt(head) / 4) + 8))
+
+
+def cluster(contexts: DataFrame, head: int) -> np.ndarray:
+    """Class of each state: head words share ``n_classes``, shapes and the end stay alone."""
+    k, core, size = n_classes(head), min(CORE, head), head + SHAPES + 1
+    start = np.concatenate((np.arange(core), core + np.arange(size - head)))  # core words alone
+    own = contexts.where(F.col("after") & ((F.col("state") < core) | (F.col("state") >= head)))
+    pairs = own.select("state", F.explode(F.arrays_zip("near", "times")).alias("x")).select("state", "x.near", "x.times")
+    pairs = pairs.where((F.col("near") < core) | (F.col("near") >= head)).groupBy("state", "near").agg(F.sum("times").alias("n")).toPandas()
+    counts = np.zeros((len(start), len(start)))
+    place = np.full(size, -1)
+    place[np.concatenate((np.arange(core), np.arange(head, size)))] = start
+    counts[place[pairs["state"].to_numpy(np.int64)], place[pairs["near"].to_numpy(np.int64)]] = pairs["n"]
+    of = exchange(counts, core, k)
+    classes = np.empty(size, np.int64)
+    classes[:core], classes[head:] = of[:core], k + np.arange(SHAPES + 1)
+    classes[core:head] = k + SHAPES + 1  # one class of its own, as long as nothing is known
+    if head > core:
+        for _ in range(ROUNDS):
+            classes = _assigned(contexts, classes, range(core, head), k)
+    return classes
+
+
 def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     """``rows``: ``key`` (long), ``text``, ``train``. The model, and by key what the rare words
     of its texts add: ``rare_sum``, ``rare_known`` and ``texts`` (rows with that key)."""
     spark = rows.sparkSession
-    vocabulary = choose_vocabulary(rows.where("train"))
+    counts = rows.where("train").select("text").mapInArrow(_word_counts, "word binary, n long")
+    counts = written(counts.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    top = counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toArrow()
+    vocabulary = Vocabulary({w: i for i, w in enumerate(top.column("word").to_pylist())})
+    head, heads = len(vocabulary.head), top.column("c").to_numpy()
+
     held = spark.sparkContext.broadcast(vocabulary)
-    tally = written(rows.mapInArrow(_tally(held), "a int, b int, n long, key long, word long, train boolean"), "lm-tally")
-
-    small = tally.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
-    size = vocabulary.n_states
-    pairs, heads = np.zeros((size, size)), np.zeros(len(vocabulary.head), np.int64)
-    is_head = small["a"].to_numpy() < 0
-    heads[small["b"][is_head]] = small["n"][is_head]
-    pairs[small["a"][~is_head], small["b"][~is_head]] = small["n"][~is_head]
-
-    tail = tally.where("key is not null").select("key", "word", "n", "train")
-    counts = tail.where("word is not null").groupBy("word").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("c"))
-    counts = written(counts, "lm-counts")
-    by_shape = counts.groupBy(F.col("word").bitwiseAND(F.lit(SHAPES - 1)).alias("s"))
-    rare = np.zeros((SHAPES, 2))
-    for r in by_shape.agg(F.count_if(F.col("c") > 0).alias("types"), F.sum("c").alias("tokens")).collect():
-        rare[r["s"]] = r["types"], r["tokens"]
-
-    part = tail.join(counts, "word", "left").groupBy("key").agg(
+    kinds = "state int, after boolean, near array<int>, times array<int>, key long, word binary, n long"
+    tally = written(rows.mapInArrow(_tally(held), kinds), "lm-tally")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    contexts = tally.where("state is not null").select("state", "after", "near", "times")
+    contexts = written(contexts.repartition(parts, "state"), "lm-contexts")
+    classes = cluster(contexts, head)
+
+    length = F.least(F.floor(F.octet_length("word") / 3), F.lit(SHAPES - 1)).cast("int")
+    sizes = np.zeros((SHAPES, 2))  # of words of each shape outside the head: types and tokens
+    for r in counts.groupBy(length.alias("s")).agg(F.count("*").alias("types"), F.sum("c").alias("tokens")).collect():
+        sizes[r["s"]] = r["types"], r["tokens"]
+    for w, c in zip(vocabulary.head, heads.tolist()):
+        sizes[shape(w)] -= 1, c
+
+    tail = tally.where("key is not null").select("key", "word", "n")
+    part = tail.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).groupBy("key").agg(
         F.sum(F.when(F.col("word").isNotNull(), F.col("n") * F.log10(F.col("c") + F.lit(ADD)))).alias("rare_sum"),
         F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("rare_known"),
         F.count_if(F.col("word").isNull()).alias("texts"),
     )
 
-    of = exchange(pairs, CLUSTERED, CLASSES)
-    k = int(of.max()) + 1
-    classes = np.zeros((size, k))
-    classes[np.arange(size), of] = 1
-    between = classes.T @ pairs @ classes
+    between = _gathered(contexts, classes)
+    k = len(between)
     first = (between.sum(0) + ADD) / (between.sum() + ADD * k)
     step = (between + PULL * first) / (between.sum(1, keepdims=True) + PULL)
-    transition = np.log10(step)[of][:, of]
-
-    states = vocabulary.states
-    class_of = of[states] if len(states) else states
-    tokens = np.bincount(class_of, heads, k) if len(states) else np.zeros(k)
-    members = np.bincount(class_of, minlength=k).astype(float)
-    shapes = of[CLUSTERED : CLUSTERED + SHAPES]
-    in_head = states >= CLUSTERED
-    seen_types = np.bincount(states[in_head & (heads > 0)] - CLUSTERED, minlength=SHAPES)
-    tokens[shapes] += rare[:, 1]
-    members[shapes] = rare[:, 0] + seen_types + 1
+    tokens = np.bincount(classes[:head], heads, k) if head else np.zeros(k)
+    members = np.bincount(classes[:head], minlength=k).astype(float)
+    shapes = classes[head : head + SHAPES]
+    tokens[shapes] += sizes[:, 1]
+    members[shapes] += sizes[:, 0] + 1  # any unknown word
     total = np.log10(np.maximum(tokens + ADD * members, ADD))
-    emission = np.log10(heads + ADD) - total[class_of]
-    texts = int(pairs[size - 1].sum())
-    types = int((heads > 0).sum() + rare[:, 0].sum()) + (texts > 0)
-    model = Model(vocabulary, heads, texts, int(heads.sum() + rare[:, 1].sum()) + texts, types, transition, emission, total[shapes], of)
+    emission = np.concatenate((np.log10(heads + ADD) - total[classes[:head]], -total[shapes]))
+    texts = int(between[:, classes[-1]].sum())
+    seen = heads.sum() + sizes[:, 1].sum()
+    model = Model(
+        vocabulary, heads, texts, int(seen) + texts, int(head + sizes[:, 0].sum()) + (texts > 0), classes, np.log10(step), emission
+    )
     return model, part
 
 
