@@ -13,8 +13,9 @@ group, so no task holds an unbounded list and no pair is lost. Links leave a gro
 spanning forest, never as all pairs.
 
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); rows with a null
-id keep their fingerprint and take the class of equal fingerprints, but never name a class.
-Repeated rows stay. Other columns of the input are not read.
+id keep their fingerprint and take the class of equal fingerprints, but never name a class
+(null where no row of the fingerprint has an id). Repeated rows stay. Other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ HASH_SEED = 42
 MAX_BITS = 4
 MIN_BYTES = 8 - MAX_BITS
 LIST_BLOCK = 2048
+HOT_SHARE = 1000
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -168,20 +170,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at most 4 differing bits, the row itself included. Ids must be integers.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fps")
-    reps = fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep"))
+    return _classes(fps).select(F.col("id").alias("doc_id"), _hexed("fp"), "component_id")
+
+
+def _hexed(fp: str):
+    return F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint")
+
+
+def _classes(fps: DataFrame) -> DataFrame:
+    """``(id, fp, component_id)`` of every row of the written table ``fps``."""
+    reps = fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("rows"))
     reps = written(reps, "reps")
     found = links(reps.where("rep is not null"))
     labels = connected_components(found, "a", "b").withColumnRenamed("node", "rep")
-    classes = reps.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(classes, "fp").select(F.col("id").alias("doc_id"), hexed, "component_id")
+    classes = reps.join(labels, "rep", "left").select("fp", "rows", F.coalesce("component", "rep").alias("component_id"))
+    classes = written(classes, "classes")
+    # fingerprints of more than a thousandth of all rows, a thousand at most, meet their rows by broadcast
+    many = F.col("rows") > reps.agg(F.sum("rows")).first()[0] // HOT_SHARE if not reps.isEmpty() else F.lit(False)
+    hot = F.broadcast(classes.where(many).drop("rows"))
+    rest = fps.join(hot, "fp", "left_anti").join(classes.where(~many).drop("rows"), "fp")
+    return fps.join(hot, "fp").unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one per class, that of its smallest id (if the id
-    repeats, one of its rows; rows without an id stay)."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    kept = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).count(), "kept")
-    once = docs if kept.where("count > 1").isEmpty() else docs.dropDuplicates([id_col])
-    null_id = docs.where(F.col(id_col).isNull())
-    return once.join(kept, id_col, "left_semi").select(*docs.columns).unionByName(null_id)
+    """The rows of ``docs`` that stay: one per class, that of its smallest id (rows without an
+    id come last; among rows of one id the least fingerprint, then the least text)."""
+    fps = written(fingerprints(docs, id_col, text_col), "fps")
+    found = written(_classes(fps), "row-classes")
+    kept = found.where("id = component_id").groupBy(F.col("id").alias(id_col)).count()
+    kept = written(kept, "kept")
+    if kept.where("count > 1").isEmpty() and found.where("id is null").isEmpty():
+        return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    # an id names no single row here: the rows themselves are compared
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).select(F.struct(*names).alias("row"), F.col(names[docs.columns.index(id_col)]).alias("id"), F.col(names[docs.columns.index(text_col)]).alias("text"))
+    schema = f"{rows.schema.simpleString()[7:-1]}, fp long"
+
+    def signed(batches):
+        for batch in pieces(batches):
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "fp"])
+
+    rows = rows.withColumn("text", F.col("text").cast("string")).mapInArrow(signed, schema)
+    classes = found.groupBy("fp").agg(F.min("component_id").alias("component_id"))
+    rows = rows.join(classes, "fp")
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "fp", "text")
+    best = rows.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min_by("row", order).alias("row"))
+    return best.select("row.*").toDF(*docs.columns)
