@@ -25,14 +25,14 @@ _ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.
 
 
 def parsed_lines(text: Column) -> Column:
-    """``array<struct<level, body>>`` of a text, lines in order; ``level`` 0 is unquoted."""
+    """``array<struct<level, body, raw>>`` of a text, lines in order; ``level`` 0 is unquoted."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
 
     def one(line: Column) -> Column:
         marks = F.regexp_extract(line, _MARKS, 1)
         level = F.length(F.translate(marks, " \t", ""))
         body = F.when(level > 0, F.ltrim(F.substr(line, F.length(marks) + 1))).otherwise(line)
-        return F.struct(level.alias("level"), body.alias("body"))
+        return F.struct(level.alias("level"), body.alias("body"), line.alias("raw"))
 
     return F.transform(lines, one)
 
@@ -42,14 +42,22 @@ def normalised(text: Column) -> Column:
 
 
 def unquoted(lines: Column) -> Column:
-    """The own text: unquoted lines without the attribution line that heads a quotation."""
-    own = F.filter(lines, lambda x: (x["level"] == 0) & ~F.rlike(x["body"], F.lit(_ATTRIBUTION)))
-    joined = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
+    """The own text: unquoted lines without the attribution lines that head a quotation (the
+    next line is quoted, or blank and the one behind it quoted)."""
+
+    def stays(line: Column, i: Column) -> Column:
+        one, two = F.get(lines, i + 1), F.get(lines, i + 2)
+        heads = (one["level"] > 0) | (F.trim(one["body"]) == "") & (two["level"] > 0)
+        heads = F.rlike(line["body"], F.lit(_ATTRIBUTION)) & F.coalesce(heads, F.lit(False))
+        return (line["level"] == 0) & ~heads
+
+    joined = F.array_join(F.transform(F.filter(lines, stays), lambda x: x["body"]), "\n")
     return F.regexp_replace(F.regexp_replace(joined, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """``(conv, rank, turn, level, passage)``: lines, paragraphs, and (level 0) whole texts."""
+    """``(conv, rank, level, block, at, passage)``: lines, paragraphs (``at`` null), and whole
+    texts (level 0, ``block`` null)."""
     rows = messages.select("conv", "rank", "own", F.posexplode("lines").alias("at", "line"))
     rows = rows.select("conv", "rank", "at", "line.level", normalised(F.col("line.body")).alias("passage"))
     in_text = Window.partitionBy("rank").orderBy("at")
@@ -58,16 +66,19 @@ def _passages(messages: DataFrame) -> DataFrame:
     blocks = rows.groupBy("conv", "rank", "level", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "passage"))), lambda x: x["passage"]), " ").alias("passage")
     )  # one block is part of one message, so it's no larger than a text
-    whole = messages.select("conv", "rank", F.lit(0).alias("level"), normalised(F.col("own")).alias("passage"))
-    cols = ["conv", "rank", "level", "passage"]
-    return rows.select(cols).union(blocks.select(cols)).union(whole.where("passage <> ''")).distinct()
+    none = F.lit(None).cast("int")
+    whole = messages.select("conv", "rank", F.lit(0).alias("level"), none.alias("block"), none.alias("at"), normalised(F.col("own")).alias("passage"))
+    cols = ["conv", "rank", "level", "block", "at", "passage"]
+    return rows.select(cols).union(blocks.withColumn("at", none).select(cols)).union(whole.where("passage <> ''"))
 
 
 def link_quotes(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """Messages ``(conv_id, position, turn, role, body, parent_position, quoted_chars, n_quotes)``
-    in reply order without quotes, and links ``(conv_id, position, level, passage, source_position)``."""
+    """Messages ``(conv_id, position, turn, role, body, parent_position, quoted_chars, n_quotes,
+    unlinked)`` in reply order without quotes, and links ``(conv_id, position, level, passage,
+    source_position)``. ``unlinked``: the quoted lines, as they stand, that no earlier message
+    offers, alone or in their paragraph (code behind a ``>>>`` prompt, quotations from elsewhere)."""
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )
@@ -84,8 +95,15 @@ def link_quotes(
     offered = F.last(F.when(F.col("level") == 0, F.col("rank")), ignorenulls=True)
     # a message doesn't quote itself: frames by rank end before its own
     before = Window.partitionBy(*key).orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
-    links = passages.withColumn("source", offered.over(before)).where("level > 0 and source is not null")
-    links = written(links.select("conv", "rank", "level", "passage", "source"), "quote-links")
+    quoted = passages.withColumn("source", offered.over(before)).where("level > 0")
+    quoted = written(quoted, "quoted")
+    links = quoted.where("source is not null").select("conv", "rank", "level", "passage", "source").distinct()
+    links = written(links, "quote-links")
+    by_block = quoted.groupBy("rank", "block").agg(
+        F.max(F.when(F.col("at").isNull(), F.col("source"))).alias("whole"),
+        F.collect_list(F.when(F.col("source").isNull(), F.col("at"))).alias("at"),
+    )  # of the lines of one message
+    lost = by_block.where("whole is null").groupBy("rank").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("lost"))
 
     weight = links.groupBy("rank", "level", "source").agg(F.sum(F.length("passage")).alias("chars"))
     best = weight.groupBy("rank").agg(F.min(F.struct("level", -F.col("chars"), -F.col("source"))).alias("b"), F.sum("chars").alias("quoted_chars"))
@@ -93,10 +111,11 @@ def link_quotes(
     counts = links.groupBy("rank").agg(F.count("*").alias("n_quotes"))
     position = F.col("rank") - F.col("start")
     parent = F.coalesce(F.col("source") - F.col("start"), F.when(position > 0, position - 1))
-    out = ranked.join(best, "rank", "left").join(counts, "rank", "left").select(
+    shown_lines = F.transform(F.coalesce("lost", F.array().cast("array<int>")), lambda i: F.get("lines", i)["raw"])
+    out = ranked.join(best, "rank", "left").join(counts, "rank", "left").join(lost, "rank", "left").select(
         F.col("conv").alias("conv_id"), position.alias("position"), "turn", "role", F.col("own").alias("body"),
         parent.alias("parent_position"), F.coalesce("quoted_chars", F.lit(0)).alias("quoted_chars"),
-        F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"),
+        F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), shown_lines.alias("unlinked"),
     )
     shown = links.join(ranked.select("rank", "start"), "rank").select(
         F.col("conv").alias("conv_id"), position.alias("position"), "level", "passage", (F.col("source") - F.col("start")).alias("source_position")
