@@ -40,12 +40,27 @@ NOTICE_PHRASES = {
     "eclipse public license": "epl",
     "all rights reserved": "proprietary",
 }
-# Label by the start of a licence identifier; the first that fits counts.
+# Licence identifiers by label; a version, "+", "-only" and "-or-later" may follow those marked *.
 IDENTIFIERS = {
-    "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "mit": "mit", "bsd": "bsd",
-    "mpl": "mpl", "epl": "epl", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd",
-    "cc-by": "cc-by", "cc0": "cc0", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib",
+    "agpl": "agpl*", "lgpl": "lgpl*", "gpl": "gpl*", "apache": "apache*", "mit": "mit mit-0", "mpl": "mpl*", "epl": "epl*",
+    "bsd": "bsd 0bsd bsd-1-clause bsd-2-clause bsd-3-clause bsd-4-clause bsd-2-clause-patent bsd-3-clause-clear",
+    "cc-by-nc": "cc-by-nc* cc-by-nc-sa* cc-by-nc-nd*", "cc-by-sa": "cc-by-sa*", "cc-by-nd": "cc-by-nd*", "cc-by": "cc-by*",
+    "cc0": "cc0*", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib",
 }
+_EXACT = {name: label for label, names in IDENTIFIERS.items() for name in names.replace("*", "").split()}
+_SERIES = {name[:-1] for names in IDENTIFIERS.values() for name in names.split() if name.endswith("*")}
+_VERSION = re.compile(r"-v?[0-9]+(?:\.[0-9]+)*(?:-only|-or-later|\+)?")
+
+
+def label_of(identifier: str) -> str | None:
+    """Label of a lower-cased licence identifier; None if it's not a known one."""
+    label = _EXACT.get(identifier)
+    at = _VERSION.search(identifier)
+    if not label and at and at.end() == len(identifier) and identifier[: at.start()] in _SERIES:
+        label = _EXACT[identifier[: at.start()]]
+    return label
+
+
 # How freely a licence lets a text be used again: 1 freely, 0 not at all; unknown ones 0.
 FREEDOM = {
     "apache": 1.0, "mit": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "zlib": 1.0, "cc0": 1.0,
@@ -111,11 +126,24 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
             else:
                 stack.append((left | right, (max if token == "or" else min)(low, high)))
         else:
-            label = next((v for k, v in IDENTIFIERS.items() if token.startswith(k)), "other")
+            label = label_of(token) or "other"
             stack.append(({label}, FREEDOM.get(label, 0.0)))
     return stack[0]
 
 
+def known(postfix: list[str]) -> bool:
+    """Whether every licence an expression names is a known one; what WITH adds is an exception
+    to a licence and any name will do."""
+    stack: list[bool] = []
+    for token in postfix:
+        if token in _BIND:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if token == "with" else left and right)
+        else:
+            stack.append(label_of(token) is not None)
+    return stack[0]
+
+
 @lru_cache(None)
 def _automaton():
     found = ahocorasick.Automaton()
@@ -130,7 +158,7 @@ def scan(text: str | None) -> tuple:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.translate(_WORD_BYTES).split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    base, first, last, base_labels, labels, expressions, free, tagged = 0, None, None, set(), set(), [], [], False
+    base, first, last, base_labels, labels, expressions, tagged, valid = 0, None, None, set(), set(), [], False, False
     at, seen = 0, 0
     for end, phrase in _automaton().iter(line):
         if phrase == TAG:
@@ -151,12 +179,13 @@ def scan(text: str | None) -> tuple:
     if tagged:
         for found in _TAG_LINE.findall(raw.lower()):
             postfix = to_postfix(found.decode("utf-8", "replace"))
-            if postfix:
+            if postfix and any(label_of(x) for x in postfix):
                 named, freedom = evaluate(postfix)
                 labels |= named
                 free.append(freedom)
                 expressions.append(" ".join(postfix))
-    score = 1.0 if expressions else 1 - 0.2 / (1 + base) if base else 0.6 if labels else 0.0
+                valid |= known(postfix)
+    score = 1.0 if valid else 1 - 0.2 / (1 + base) if base else 0.6 if labels else 0.0
     joined = lambda x: ",".join(sorted(x))
     return len(words), base, first, last, joined(base_labels), joined(labels), score, expressions, min(free, default=None)
 
@@ -172,7 +201,8 @@ def _scans(batches):
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: word and base counts, labels, a score from 0 (no sign of a
-    licence) to 1 (a valid expression), the expressions found in postfix order, and
+    licence) to 1 (a valid expression of known licences; words behind a tag that name none are no
+    expression), the expressions found in postfix order, and
     ``freedom``, that of the strictest licence found (null: none found)."""
     send_small(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
