@@ -9,9 +9,14 @@ classes. Each permutation is a bijection of its format, so equal values stay lin
 documents and different ones stay apart; nothing is looked up or joined.
 
 A card is sought in every run of whole digit groups of a match, an IBAN at the length of its
-country; what stands beside them stays text. What fails validation (a card by Luhn, a date by the calendar, an address by its octets, an
-IBAN by its remainder) stays as it is, as do dates outside 1900-01-01 to 2101-01-25. A null
-text stays null; empty texts stay empty; repeated rows are alike; other columns are untouched.
+country; what stands beside them stays text. A telephone number's country code is split from its
+digits by the plan of country codes, so punctuation doesn't change which number it becomes. Dates
+are year, month, day or day, month, year.
+
+What fails validation (a card by Luhn, a date by the calendar, an address by its octets, an IBAN
+by its remainder) stays as it is, as do dates outside 1900-01-01 to 2101-01-25, dates that are
+valid only as month, day, year, and telephone numbers without a country code. A null text stays
+null; empty texts stay empty; repeated rows are alike; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -39,11 +44,13 @@ _SIZED = "|".join(
 # words behind an IBAN of its country's length stay outside
 _IBAN = rf"(?<![A-Za-z0-9])(?:{_SIZED})(?![A-Za-z0-9])|{_IBAN_ANY}"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-_ISO_DATE = r"(?<![0-9A-Za-z])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
+_ISO_DATE = r"(?<![0-9A-Za-z])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9])"
 _DAY_DATE = r"(?<![0-9A-Za-z])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])"
-_PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+_PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: Country codes of one, two and three digits, as the international numbering plan has them.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: In this order: the first kind whose pattern fits a value whole names it.
 KINDS = {
     "email": _EMAIL, "credential": _CREDENTIAL, "access_key": _ACCESS_KEY, "iban": _IBAN, "ip": _IP,
@@ -214,7 +221,7 @@ def _pseudonym(value: Column, key: str) -> Column:
     whole = lambda kind: F.rlike(value, F.lit(f"^(?:{KINDS[kind]})$"))
     local = F.regexp_extract(value, "^[^@]*", 0)
     digits = F.translate(value, "+ ().-", "")
-    phone = F.when(F.length(digits).between(7, 15), _behind(value, r"^\+[0-9]{1,3}", key, "phone")).otherwise(value)
+    phone = F.when(F.length(digits).between(7, 15), _refilled(value, _behind(digits, _COUNTRY, key, "phone"))).otherwise(value)
     ssn = F.when(F.rlike(value, F.lit("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")), permute_text(value, key, "ssn")).otherwise(value)
     return (
         F.when(whole("email"), F.concat(permute_text(local, key, "email"), F.substr(value, F.length(local) + 1)))
@@ -232,15 +239,25 @@ def _pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with personal values in ``text_col`` replaced; ``count_col``, if named, is
-    added with the number of values that changed. ``key`` is the secret of all permutations."""
+    added with the number of values that changed (no column may have that name). ``key`` is the
+    secret of all permutations."""
+    if count_col in docs.columns:
+        raise ValueError(f"{count_col} is a column already")
     text = F.col(text_col)
+
+    def replaced(found: Column) -> Column:
+        return F.get(F.transform(F.array(F.transform(found, lambda x: _pseudonym(x, key))), lambda new: F.struct(
+            F.array_join(F.zip_with(F.split(text, PATTERN), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"),
+            F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)).alias("n"),
+        )), 0)
+
+    # bound to variables: values are found and permuted once, whatever is read of them
+    both = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), replaced), 0)
     has = F.rlike(text, F.lit("[0-9@=:]"))
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    parts = F.split(text, PATTERN)
-    new = F.transform(found, lambda x: _pseudonym(x, key))
-    joined = F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = docs
-    if count_col:
-        changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-        out = out.withColumn(count_col, F.when(has, changed).otherwise(0))
-    return out.withColumn(text_col, F.when(has, joined).otherwise(text))
+    both = F.when(has, both).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+    held = "_replaced"
+    while held in docs.columns:
+        held += "_"
+    out = docs.withColumn(held, both)
+    kept = [F.col(held)["text"].alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*kept, *([F.col(held)["n"].alias(count_col)] if count_col else []))
