@@ -34,9 +34,10 @@ def _with_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", range_bucket(rows, "doc_id", parts))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     firsts = written(firsts, "firsts")
-    by_range = Window.orderBy("bucket")  # of at most ``parts`` rows
+    by_range = Window.orderBy("bucket")  # of at most ``parts`` numbers
     before = F.coalesce(F.lag("bucket").over(by_range), F.max("bucket").over(Window.partitionBy()))
-    firsts = firsts.select(before.alias("bucket"), "first")
+    ranges = firsts.select("bucket", before.alias("before"))
+    firsts = firsts.join(F.broadcast(ranges), "bucket").select(F.col("before").alias("bucket"), "first")
     order = Window.partitionBy("bucket").orderBy("doc_id", F.xxhash64("text"))
     rows = rows.withColumns({"after": F.lead(F.struct("doc_id", "text")).over(order)})
     after = F.coalesce("after", "first")
@@ -47,7 +48,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
 
 def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each text and of its edited text; ids are taken as unique (rows that repeat
-    an id get the least of its fingerprints)."""
+    an id get the least of its fingerprints). A null id is an id like others, the first."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
@@ -58,9 +59,10 @@ def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = rows.unionByName(docs, allowMissingColumns=True)
     prints = written(digests.fingerprints(both, keep), "prints")
     own = prints.where("edited_sha256 is null").groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
-    following = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    following = own.select(F.col("doc_id").alias("after"), F.col("fingerprint").alias("next_fingerprint"))
     out = prints.where("edited_sha256 is not null").withColumnRenamed("fingerprint", "edited_fingerprint")
-    out = out.join(own, "doc_id", "left").join(following, "next_id", "left")
+    out = out.join(own.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left")
+    out = out.join(following, F.col("next_id").eqNullSafe(F.col("after")), "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         digests.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
