@@ -40,7 +40,8 @@ def _exact(path: str):
 
 @lru_cache(None)
 def _quick(path: str):
-    """The same ranks in the faster encoder, and the texts of special tokens."""
+    """The same ranks in the faster encoder and the texts of special tokens; None where the
+    file's rules are others than that encoder's (byte-level pieces, merges in the order of ids)."""
     import json
 
     import tiktoken
@@ -48,6 +49,8 @@ def _quick(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = {x["content"] for x in spec.get("added_tokens", ())}
+    if not _is_plain(spec):
+        return None
     # bytes as that vocabulary writes them: printable ones as themselves, others from U+0100 on
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -56,13 +59,25 @@ def _quick(path: str):
     return tiktoken.Encoding("piece", pat_str=_BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
+def _is_plain(spec: dict) -> bool:
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if spec.get("normalizer") or model.get("type", "BPE") != "BPE":
+        return False
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False:
+        return False
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    ids = [model["vocab"].get("".join(m), -1) for m in merges]
+    return not any(model.get(x) for x in odd) and all(a < b for a, b in zip([-1, *ids], ids))
+
+
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text by the tokenizer file at ``path`` (byte-level BPE), then ``END_ID``."""
-    quick, added = _quick(path)
+    quick, added = _quick(path) or (None, ())
     out = []
     for text in texts:
         text = text or ""
-        if _PLAIN.search(text) or any(x in text for x in added):
+        if not quick or _PLAIN.search(text) or any(x in text for x in added):
             ids = _exact(path).encode(text, add_special_tokens=False).ids
         else:
             ids = quick.encode_ordinary(text)
