@@ -124,10 +124,26 @@ def test_simhash_odd_rows(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i) == [1, 4, 5, 6, 7, 8] and ids.count(None) == 2
+    assert sorted(ids) == [1, 4, 5, 6, 7, 8]  # the rows without an id are copies of others
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_one_row_of_a_class_stays_when_ids_repeat(spark):
+    a, b = "one two three four five six seven", "completely other words stand in this text"
+    rows = [(1, b), (5, a), (5, b), (5, a), (None, a), (None, "no id and alone here"), (None, "no id and alone here")]
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(table(spark, rows)).collect()))
+    assert kept == [(0, "no id and alone here"), (1, b), (5, a)]
+    plain = [(1, b), (5, a), (7, b), (9, "")]
+    assert sorted(r.doc_id for r in simhash.keep_one(table(spark, plain)).collect()) == [1, 5, 9]
+
+
+def test_rows_of_frequent_fingerprints_get_their_class(spark, monkeypatch):
+    rows = [(i, f"text number {i % 7} of a few words here") for i in range(200)] + [(500 + i, "the same text again and again") for i in range(300)]
+    want = sorted(simhash.near_duplicates(table(spark, rows)).collect())
+    monkeypatch.setattr(simhash, "HOT_SHARE", 3)
+    assert sorted(simhash.near_duplicates(table(spark, rows)).collect()) == want and len(want) == 500
+
+
 # --- 2 digests -------------------------------------------------------------------------
 
 
@@ -154,6 +170,15 @@ def test_canonical_forms_meet(spark):
     assert len({got[i] for i in range(4)}) == 1 and got[9] != got[0] and got[10] == got[11]
 
 
+def test_a_null_id_has_digests_too(spark, tmp_path):
+    rows = [(None, "one two three four"), (1, "five six seven eight"), (2, "five six seven eight"), (3, None)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_digests(spark, str(tmp_path)).collect()}
+    assert len(got) == 4 and all(r.fingerprint and r.edited_fingerprint for r in got.values())
+    assert got[1].near_next == 1.0 and got[2].near_next == 0.0 and got[None].near_next == 0.0
+    assert got[None].edited_sha256 == hashlib.sha256("one two three five".encode()).hexdigest()
+
+
 def test_colliding_digests_are_told_apart(spark):
     texts = [(i, f"text {i % 40}") for i in range(120)]
     got = {r.doc_id: r.fingerprint for r in digests.fingerprints(table(spark, texts), ["doc_id"], bits=3).collect()}
@@ -208,6 +233,17 @@ def test_license_phrases_and_expressions(spark):
     assert rows[3].expressions == [] and rows[4].labels == ""
 
 
+def test_only_known_identifiers_make_an_expression():
+    value = dict(zip([x.split()[0] for x in licenses.FIELDS.split(", ")], licenses.scan("SPDX-License-Identifier: hello there")))
+    assert (value["labels"], value["score"], value["expressions"]) == ("", 0.0, [])
+    value = dict(zip([x.split()[0] for x in licenses.FIELDS.split(", ")], licenses.scan("SPDX-License-Identifier: MITNFA")))
+    assert value["labels"] == "" and value["score"] == 0
+    value = dict(zip([x.split()[0] for x in licenses.FIELDS.split(", ")], licenses.scan("SPDX-License-Identifier: MIT OR LicenseRef-own")))
+    assert value["labels"] == "mit,other" and value["score"] < 1 and value["expressions"] == ["mit licenseref-own or"]
+    found = {"gpl-2.0-only": "gpl", "gpl-3.0-or-later": "gpl", "lgpl-2.1+": "lgpl", "apache-2.0": "apache", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nc-nd-4.0": "cc-by-nc", "bsd-3-clause": "bsd", "cc0-1.0": "cc0", "mit": "mit", "mit-x": None, "gplish": None, "apache-2.0x": None}
+    assert {x: licenses.label_of(x) for x in found} == found
+
+
 def test_shunting_yard():
     assert licenses.to_postfix("a or b and c") == ["a", "b", "c", "and", "or"]
     assert licenses.to_postfix("(a or b) and c") == ["a", "b", "or", "c", "and"]
@@ -224,19 +260,24 @@ def test_license_odd_rows(odd, empty):
 # --- 4 decontamination -----------------------------------------------------------------
 
 
-def shingles(text):
-    words = [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+def plain_words(text):
+    return [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+def shingles(words, size):
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
 def plain_contained(docs, items, t=0.8):
-    got = {}
+    got, items = {}, [(j, plain_words(x)) for j, x in items]
     for i, d in docs:
-        own = shingles(d)
+        words = plain_words(d)
+        own = {n: shingles(words, n) for n in range(6)}
         for j, x in items:
-            theirs = shingles(x)
-            if theirs and len(theirs & own) / len(theirs) >= t - 1e-12:
-                got[i, j] = (len(theirs & own), len(theirs))
+            size = min(5, len(x))
+            theirs = shingles(x, size)
+            if theirs and len(theirs & own[size]) / len(theirs) >= t - 1e-12:
+                got[i, j] = (len(theirs & own[size]), len(theirs))
     return got
 
 
@@ -259,6 +300,21 @@ def test_containment_at_the_threshold(spark):
     got = decontam.contained(table(spark, docs), table(spark, items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in got.collect()}
     assert got == plain_contained(docs, items)
+    assert {len(items[j][1].split()) for _, j in got} > {2, 4}  # short items too, inside longer texts
+
+
+def test_sketches_in_blocks_find_the_same(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{(i * k) % 50}" for k in range(60))) for i in range(30)]
+    items = table(spark, [(i, " ".join(t.split()[5:40])) for i, t in docs], "item_id long, text string")
+    whole = sorted(decontam.contained(table(spark, docs), items).collect())
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 40)
+    assert sorted(decontam.contained(table(spark, docs), items).collect()) == whole and len(whole) >= 30
+
+
+def test_a_column_named_like_the_inner_one_stays(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon", "x"), (2, "other", "y")], "doc_id long, text string, _bad string")
+    items = table(spark, [(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.keep_clean(docs, items).collect()] == [(2, "other", "y")]
 
 
 def test_decontamination_odd_rows(spark, odd, empty):
@@ -289,6 +345,88 @@ def test_quotes_link_to_their_messages(spark):
     assert all(r.parent_position is None or r.parent_position < r.position for r in got.values())
 
 
+def test_what_is_no_quotation_stays(spark):
+    rows = [
+        (1, 0, "user", "On Friday she wrote:\nplain text, no quote follows"), (1, 1, "user", "see\n>>> print(1)\n1"),
+        (1, 2, "user", "Am Montag schrieb er:\n\n> plain text, no quote follows\nyes"), (1, 3, "user", "> from elsewhere\n> altogether\nno"),
+    ]
+    out, _ = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.position: r for r in out.collect()}
+    assert got[0].body == "On Friday she wrote:\nplain text, no quote follows" and got[0].unlinked == []
+    assert got[1].body == "see\n1" and got[1].unlinked == [">>> print(1)"] and got[1].n_quotes == 0
+    assert got[2].body == "yes" and got[2].unlinked == [] and got[2].n_quotes > 0
+    assert got[3].unlinked == ["> from elsewhere", "> altogether"] and got[3].body == "no"
+
+
+def plain_quotes(rows):
+    """Body, parent, quoted characters and unlinked lines by (conversation, position)."""
+    fold = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    out, offers, position = {}, defaultdict(list), Counter()
+    for conv, _, _, text in sorted(rows):
+        p = position[conv]
+        position[conv] += 1
+        lines = []
+        for raw in text.split("\n"):
+            marks = re.match(r"((?:[ \t]*>)+)", raw)
+            lines.append((marks[1].count(">"), raw[marks.end() :].lstrip(" "), raw) if marks else (0, raw, raw))
+        heads = set()
+        for i, (level, body, _) in enumerate(lines):
+            after = lines[i + 1 : i + 3]
+            quoted = after and (after[0][0] > 0 or not after[0][1].strip() and len(after) > 1 and after[1][0] > 0)
+            if level == 0 and quoted and re.fullmatch(r"On\b.*\bwrote:", body):
+                heads.add(i)
+        own = re.sub(r"\n{3,}", "\n\n", "\n".join(b for i, (v, b, _) in enumerate(lines) if v == 0 and i not in heads).strip())
+        blocks, last = [], None
+        for i, (level, body, raw) in enumerate(lines):
+            if not fold(body):
+                last = None
+                continue
+            if last is None or last != level:
+                blocks.append((level, []))
+            last = level
+            blocks[-1][1].append((fold(body), raw))
+        chars, unlinked, mine = Counter(), [], set()
+        links = {}
+        for level, part in blocks:
+            passages = [x for x, _ in part] + [" ".join(x for x, _ in part)]
+            if level == 0:
+                mine.update(passages)
+                continue
+            for x in passages:
+                if offers[conv, x]:
+                    links[level, x] = offers[conv, x][-1]
+            unlinked += [raw for x, raw in part if (level, x) not in links and (level, passages[-1]) not in links]
+        for (level, x), source in links.items():
+            chars[level, source] += len(x)
+        best = min(((level, -n, -source) for (level, source), n in chars.items()), default=None)
+        out[conv, p] = (own, -best[2] if best else (p - 1 if p else None), sum(chars.values()), len(links), unlinked)
+        for x in {*mine, *([fold(own)] if fold(own) else [])}:
+            offers[conv, x].append(p)
+    return out
+
+
+def test_quotes_equal_a_plain_linker(spark):
+    rng = random.Random(5)
+    said = [f"{a} {b} {c}" for a in ("the red", "A green", "no") for b in ("house", "car") for c in ("stands here", "is gone", "WAS sold")]
+    rows = []
+    for conv in range(25):
+        for turn in range(12):
+            lines = []
+            for _ in range(rng.randrange(1, 9)):
+                kind, line = rng.random(), rng.choice(said)
+                if kind < 0.15:
+                    lines.append("")
+                elif kind < 0.2:
+                    lines.append("On Monday someone wrote:")
+                else:
+                    lines.append(rng.choice(["", "", "> ", "> ", ">", "> > ", ">> "]) + line)
+            rows.append((conv, turn, "user", "\n".join(lines)))
+    out, _ = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.position): (r.body, r.parent_position, r.quoted_chars, r.n_quotes, r.unlinked) for r in out.collect()}
+    assert got == plain_quotes(rows)
+    assert sum(x[3] > 0 for x in got.values()) > 100 and sum(bool(x[4]) for x in got.values()) > 100
+
+
 def test_quotes_odd_rows(spark):
     rows = [(None, 0, "user", "hello there"), (None, 1, None, "> hello there\nhi"), (3, None, "user", None), (3, 1, "user", ""), (3, 1, "user", ""), (4, 0, "user", ">>>\n>\n" + "> a\n" * 2000)]
     schema = "conv_id long, turn long, role string, text string"
@@ -336,6 +474,78 @@ def test_values_keep_their_format_and_link(spark):
     assert pseudonyms_of(spark, texts, "other")[0] != out[0]
 
 
+def plain_feistel_text(value, key, tweak):
+    """The text permutation as plain loops."""
+    at = [i for i, c in enumerate(value) if c.isalnum()]
+    signs = [value[i] for i in at]
+    hexadecimal = re.fullmatch("[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*", value) is not None
+    a, b = signs[: len(signs) // 2], signs[len(signs) // 2 :]
+
+    def moved(half, turn, other):
+        out = []
+        for i, c in enumerate(half):
+            low, size = (48, 10) if c.isdigit() else (65 if c.isupper() else 97, 6 if hexadecimal else 26)
+            wide = int(hashlib.sha256(f"{key}|{tweak}|{turn}.{i}|{other}".encode()).hexdigest()[:15], 16)
+            out.append(chr(low + (ord(c) - low + wide % size) % size))
+        return out
+
+    for turn in range(pseudonyms.ROUNDS):
+        if turn % 2 == 0:
+            a = moved(a, turn, "".join(b))
+        else:
+            b = moved(b, turn, "".join(a))
+    new = list(value)
+    for i, c in zip(at, a + b):
+        new[i] = c
+    return "".join(new)
+
+
+def plain_feistel_pair(a, b, sizes, key, tweak):
+    draw = lambda turn, other, size: int(hashlib.sha256(f"{key}|{tweak}|{turn}|{other}".encode()).hexdigest()[:15], 16) % size
+    for turn in range(pseudonyms.ROUNDS):
+        if turn % 2 == 0:
+            a = (a + draw(turn, b, sizes[0])) % sizes[0]
+        else:
+            b = (b + draw(turn, a, sizes[1])) % sizes[1]
+    return a, b
+
+
+def test_pseudonyms_equal_plain_feistel_networks(spark):
+    import datetime
+
+    rng, texts, want = random.Random(6), [], []
+    first = datetime.date(1900, 1, 1)
+    for n in range(60):
+        octets = [rng.randrange(256) for _ in range(4)]
+        x, y = plain_feistel_pair(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (65536, 65536), "k", "ip")
+        day = first + datetime.timedelta(rng.randrange(270 * 272))
+        u, v = plain_feistel_pair((day - first).days // 272, (day - first).days % 272, (270, 272), "k", "date")
+        later = first + datetime.timedelta(u * 272 + v)
+        name, number = "".join(rng.choices("abcdeXYZ0123", k=rng.randrange(2, 12))), "".join(rng.choices("0123456789", k=9))
+        digits = "".join(rng.choices("0123456789", k=15))
+        card = digits + next(c for c in "0123456789" if luhn(digits + c))
+        payload = plain_feistel_text(card[:-1], "k", "card")
+        texts.append(f"{'.'.join(map(str, octets))} on {day} or {day:%d.%m.%Y} {name}@host.example +49{number} {card}")
+        new = ".".join(map(str, (x >> 8, x & 255, y >> 8, y & 255)))
+        phone = "+49" + plain_feistel_text(number, "k", "phone")
+        check = next(c for c in "0123456789" if luhn(payload + c))
+        want.append(f"{new} on {later} or {later:%d.%m.%Y} {plain_feistel_text(name, 'k', 'email')}@host.example {phone} {payload}{check}")
+    assert pseudonyms_of(spark, texts) == want
+
+
+def test_punctuation_of_a_number_does_not_change_its_pseudonym(spark):
+    out = pseudonyms_of(spark, ["+1 555 123 4567", "+1-555-123-4567", "+15551234567", "+1 (555) 123-4567", "+44 20 7946 0958", "+442079460958", "+353 1 496 0123"])
+    digits = [re.sub(r"\D", "", x) for x in out]
+    assert len(set(digits[:4])) == 1 and digits[0] != "15551234567" and digits[0][0] == "1" and digits[4] == digits[5] and digits[4][:2] == "44"
+    assert out[3][:4] == "+1 (" and digits[6][:3] == "353" and digits[6] != "35314960123"
+    assert pseudonyms_of(spark, ["1999/12/31"])[0].replace("/", "-") == pseudonyms_of(spark, ["1999-12-31"])[0] != "1999-12-31"
+
+
+def test_a_taken_count_column_is_refused(spark):
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(table(spark, [(1, "x")]), "k", count_col="doc_id")
+
+
 def test_what_is_not_valid_stays(spark):
     texts = ["4418452524842582", "1985-13-40 and 31.02.2020", "999.1.2.3 and 1.2.3.4.5", "version 2.0. 3.14", "1850-01-01", "", "plain text", "000-45-6789", "DE89 3704 0044 0532 0130 01"]
     assert pseudonyms_of(spark, texts) == texts
@@ -562,6 +772,20 @@ def test_quick_encoder_agrees():
         assert got.tolist() == exact.encode(t or "", add_special_tokens=False).ids + [0]
 
 
+def test_other_rules_of_a_tokenizer_take_the_exact_road(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    assert packing._is_plain(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        assert not packing._is_plain(spec | change)
+    swapped = spec["model"] | {"merges": [spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]]}
+    assert not packing._is_plain(spec | {"model": swapped})
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    assert packing.encode(["ABC Def"], str(other))[0].tolist() == packing.encode(["abc def"], queries.tokenizer_path())[0].tolist()
+
+
 def test_plans_place_every_piece():
     rng = random.Random(9)
     for _ in range(30):
@@ -609,24 +833,75 @@ def test_small_head_gives_the_same_base_scores(spark, documents, monkeypatch):
     rows = table(spark, list(documents.items()))
     train = F.col("doc_id") % 10 != 0
     whole = {r.doc_id: r for r in brown_lm.score(rows, train).collect()}
-    monkeypatch.setattr(brown_lm, "SAMPLE_TEXTS", 5)
+    monkeypatch.setattr(brown_lm, "HEAD_WORDS", 50)
+    monkeypatch.setattr(brown_lm, "_FLUSH", 400)
     few = {r.doc_id: r for r in brown_lm.score(rows, train).collect()}
     for i, r in whole.items():
         assert r.n_known == few[i].n_known and math.isclose(r.base_score, few[i].base_score, rel_tol=1e-9)
 
 
+def lm_rows(spark, documents, n=60):
+    return table(spark, list(documents.items())[:n]).select(F.xxhash64("doc_id").alias("key"), "text", (F.col("doc_id") % 5 != 0).alias("train"))
+
+
 def test_lm_is_a_distribution(spark, documents):
-    rows = table(spark, list(documents.items())[:60]).select(F.xxhash64("doc_id").alias("key"), "text", F.lit(True).alias("train"))
+    model, _ = brown_lm.fit(lm_rows(spark, documents))
+    assert np.allclose((10.0**model.transition).sum(1), 1.0)
+    size, sums = len(model.vocabulary.head), Counter()
+    for i in range(size):
+        sums[model.classes[i]] += 10 ** float(model.emission[i])
+    assert len(sums) > 3 and all(math.isclose(s, 1.0, rel_tol=1e-9) for s in sums.values())
+
+
+def test_lm_scores_equal_a_plain_model(spark, documents, monkeypatch):
+    """The classes are taken from the fit; counts, transitions and emissions are counted anew."""
+    monkeypatch.setattr(brown_lm, "CORE", 40)
+    rows = lm_rows(spark, documents, 80)
+    texts = {r.key: (r.text or "", r.train) for r in rows.collect()}
+    docs = rows.select(F.col("key").alias("doc_id"), "text", "train")
+    got = {r.doc_id: r.score for r in brown_lm.score(docs, F.col("train")).collect()}
     model, _ = brown_lm.fit(rows)
-    classes = model.classes
-    for state in range(0, model.vocabulary.n_states, 40):  # one state of each class stands for it
-        first = np.unique(classes, return_index=True)[1]
-        assert math.isclose((10.0 ** model.transition[state, first]).sum(), 1.0, rel_tol=1e-9)
-    sums = Counter()
-    for i in model.vocabulary.head.values():
-        if i < brown_lm.CLUSTERED:
-            sums[classes[i]] += 10 ** float(model.emission[i])
-    assert all(math.isclose(s, 1.0, rel_tol=1e-9) for s in sums.values())
+    head, shape_of = model.vocabulary.head, lambda w: min(len(w) // 3, brown_lm.SHAPES - 1)
+    split = lambda t: [w for w in re.split(rb"[\x20\x09-\x0D]+", t.encode().lower()) if w]
+    counts = Counter(w for t, train in texts.values() if train for w in split(t))
+    assert set(head) == {w for w, c in counts.items() if c >= brown_lm.LEAST}
+    state = lambda w: head.get(w, len(head) + shape_of(w))
+    end = int(model.classes[-1])
+    path = lambda t: [end, *(int(model.classes[state(w)]) for w in split(t)), end]
+    steps, k = Counter(), end + 1
+    for t, train in texts.values():
+        if train:
+            steps.update(zip(path(t), path(t)[1:]))
+    out, into = Counter(), Counter()
+    for (a, b), n in steps.items():
+        out[a] += n
+        into[b] += n
+    first = lambda b: (into[b] + 0.1) / (sum(into.values()) + 0.1 * k)
+    tokens, members = Counter(), Counter()
+    for w, c in counts.items():
+        tokens[int(model.classes[state(w)])] += c
+        members[int(model.classes[state(w)])] += 1
+    for s in range(brown_lm.SHAPES):
+        members[int(model.classes[len(head) + s])] += 1
+    for key, (t, _) in texts.items():
+        p, ws = path(t), split(t)
+        total = sum(math.log10((steps[a, b] + 4.0 * first(b)) / (out[a] + 4.0)) for a, b in zip(p, p[1:]))
+        total += sum(math.log10((counts[w] + 0.1) / (tokens[c] + 0.1 * members[c])) for w, c in zip(ws, p[1:]))
+        assert math.isclose(got[key], total, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_further_words_join_the_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CORE", 8)
+    monkeypatch.setattr(brown_lm, "n_classes", lambda head: 2)
+    rng = random.Random(2)
+    words = {"x": [f"x{i}" for i in range(30)], "y": [f"y{i}" for i in range(30)]}  # always in turn
+    weights = [1 / (i + 1) for i in range(30)]
+    texts = [(i, " ".join(rng.choices(words["xy"[(i + k) % 2]], weights)[0] for k in range(40)), True) for i in range(200)]
+    model, _ = brown_lm.fit(spark.createDataFrame(texts, "key long, text string, train boolean"))
+    classes = {w[:1]: set() for w in model.vocabulary.head}
+    for w, i in model.vocabulary.head.items():
+        classes[w[:1]].add(int(model.classes[i]))
+    assert len(model.vocabulary.head) > 40 and len(classes[b"x"]) == len(classes[b"y"]) == 1 and classes[b"x"] != classes[b"y"]
 
 
 def test_exchange_finds_classes():
