@@ -41,7 +41,8 @@ class Engine:
     def retrieve(self, queries: DataFrame, limit: int = 10, depth: int = 1, min_score: float = 0.3, token_budget: int | None = None, **scope) -> DataFrame:
         """Hybrid search of a batch; ``limit`` hits each, within ``token_budget`` if given."""
         units = self.scoped(**scope)
-        hits = retrieval.hybrid(units, self["edges"], queries, self.now, limit, depth, min_score).where(F.col("rank") < limit)
+        edges = graph.latest_edges(self["edges"])
+        hits = retrieval.hybrid(units, edges, queries, self.now, limit, depth, min_score).where(F.col("rank") < limit)
         rows = units.join(F.broadcast(hits), "id")
         if token_budget:
             rows = rows.withColumn("cost", context.token_cost("content", "keywords"))
@@ -57,7 +58,34 @@ class Engine:
 
     def search_procedural(self, queries: DataFrame, k: int = 10, **scope) -> DataFrame:
         units = self.scoped(**scope).where("memory_type = 'procedural'")
-        return retrieval.rerank(retrieval.vector_top_k(units, queries, k), units, self.now, 0.0, self.weights)
+        return retrieval.rerank(F.broadcast(retrieval.vector_top_k(units, queries, k)), units, self.now, 0.0, self.weights)
+
+    def search_shared_text(self, queries: DataFrame, records: DataFrame, k: int = 10, **scope) -> DataFrame:
+        """Native text hits and organization records (id, content, keywords) in one list, records
+        at 0.7 of the weight of their rank."""
+        native = self.search_text(queries, k, **scope)
+        shared = retrieval.organization_scores(records, queries.select("query_id", "text"), k, 0.01)
+        return retrieval.top_k(retrieval.fuse([(native, 1.0), (shared, retrieval.SHARED_FACTOR)], False), k)
+
+    def search(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, records: DataFrame | None = None, **scope) -> DataFrame:
+        """``(query_id, id, score, rank)`` by mode: ``text_local`` the units' text alone; ``text``
+        and ``text_shared`` with organization ``records``; ``vector``; any other is hybrid, with
+        the records if there are any. At most 100 a query."""
+        k = min(k, 100)
+        if mode == "text_local" or mode in ("text", "text_shared") and records is None:
+            out = self.search_text(queries, k, **scope)
+        elif mode in ("text", "text_shared"):
+            out = self.search_shared_text(queries, records, k, **scope)
+        elif mode == "vector":
+            out = self.search_vector(queries, k, **scope)
+        else:
+            out = self.retrieve(queries, k, **scope)
+            if records is not None:
+                shared = retrieval.organization_scores(records, queries, k, 0.01).join(records.select("id", "embedding"), "id")
+                everyone = queries.select("query_id", F.lit(True).alias("consume"))
+                cols = ["query_id", "id", "score", "embedding"]
+                out = retrieval.with_shared(out.select(*cols), shared.select(*cols), everyone, k, 0.0)
+        return out.select("query_id", "id", "score", "rank")
 
     def context(self, queries: DataFrame, budget: int = 800, limit: int = 12, xml: bool = False, **scope) -> DataFrame:
         budget = max(64, min(4096, budget))
@@ -102,6 +130,9 @@ class Engine:
             tables["units"] = self["units"].join(gone, "id", "left_anti")
             for end in ("source_id", "target_id"):
                 tables["edges"] = tables["edges"].join(gone.withColumnRenamed("id", end), end, "left_anti")
+            if "events" in tables:
+                lost = new.where("target_kind = 'event'").select(F.col("target_id").alias("id"))
+                tables["events"] = tables["events"].join(lost, "id", "left_anti")
         return Engine(self.spark, tables, self.as_of, self.weights)
 
     def ready_tasks(self) -> DataFrame:

@@ -18,9 +18,12 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private local one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a private local one only on a local master that names
+    none (tests). A cluster must name one: its machines share no local folder."""
     sc = spark.sparkContext
     own = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not own and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not own:
         own = tempfile.mkdtemp(prefix="mnemospark-")
         atexit.register(shutil.rmtree, own, True)
@@ -38,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is. ``df`` is
+    counted, so it should be a written table or cheap to make."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm

@@ -227,9 +227,18 @@ def latest(rows: DataFrame, at: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(at), F.desc("source_id"), F.desc("target_id")).limit(limit)
 
 
+def surviving_edges(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """Edges staged with a batch whose two ends the batch still has."""
+    ids = units.select("id")
+    for end in ("source_id", "target_id"):
+        edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return edges
+
+
 def reconcile_batch(units: DataFrame, removals: DataFrame) -> DataFrame:
     """Within one batch a later unit may remove an earlier one, unless the later one has been
-    removed before. ``removals``: user_id, source_id, target_id, n (order of the source)."""
+    removed before. ``removals``: user_id, source_id, target_id, n (order of the source). What is
+    staged beside the units then loses its dangling ends by ``surviving_edges``."""
     import pandas as pd
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

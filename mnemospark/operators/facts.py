@@ -260,7 +260,54 @@ def best_fact(facts: Column) -> Column:
 
 
 def hydrate(units: DataFrame, extracted: str) -> DataFrame:
-    """``facts``: those a model extracted, else those of the rules; one of each subject, key,
-    attribute, value and change."""
-    rows = detect_facts(units).withColumn("facts", F.when(F.size(extracted) > 0, F.col(extracted)).otherwise(F.col("facts")))
-    return rows.withColumn("facts", F.array_distinct("facts"))
+    """``facts``: those a model extracted, else those of the rules; the first of each subject,
+    key, attribute, canonical value (else value) and change. Level-1 factual units alone, where
+    the units tell their level and type, have facts."""
+    rows = detect_facts(units)
+    chosen = F.when(F.size(extracted) > 0, F.col(extracted)).otherwise(F.col("facts"))
+    for name, value in (("level", 1), ("memory_type", "factual")):
+        if name in units.columns:
+            chosen = F.when(F.col(name) == value, chosen).otherwise(F.array().cast(f"array<{FACT}>"))
+
+    def key(f: Column) -> Column:
+        said = F.coalesce(f["canonical_value"], f["value"])
+        return F.struct(f["subject"], f["subject_key"], f["attribute"], said, f["change_type"])
+
+    def once(facts: Column) -> Column:
+        keys = F.transform(facts, key)
+        return F.filter(facts, lambda f, i: F.array_position(keys, key(f)) == i + 1)
+
+    return rows.withColumn("facts", F.get(F.transform(F.array(chosen), once), 0))
+
+
+EXPECTED = "array<struct<attribute:string,value:string,subject_key:string,change_type:string>>"
+
+
+def evaluate(cases: DataFrame) -> DataFrame:
+    """What the rules make of cases with known facts (``case``, ``language``, ``content``,
+    ``expected``): a row a fact, expected or found. ``kind`` is ``expected`` or ``unexpected`` (a
+    false positive); ``covered``: some fact has the value; ``attribute_ok``, ``subject_ok``,
+    ``change_ok``: that one agrees in it; ``exact``: in all. A false negative is not covered."""
+    rows = detect_facts(cases.withColumns({"domain": F.lit("user"), "agent_id": F.lit(None).cast("string")}))
+    same = lambda a, b: F.lower(a["value"]) == F.lower(b["value"])
+
+    def judged(e: Column) -> Column:
+        alike = F.filter("facts", lambda f: same(f, e))
+        # of several facts with the value the one that agrees most
+        score = lambda f: (f["attribute"] == e["attribute"]).cast("int") * 4 + (f["subject_key"] == e["subject_key"]).cast("int") * 2 + (f["change_type"] == e["change_type"]).cast("int")
+        best = F.coalesce(F.array_max(F.transform(alike, score)), F.lit(-1))
+        return F.struct(
+            F.lit("expected").alias("kind"), e["attribute"].alias("attribute"), e["change_type"].alias("change_type"), (best >= 0).alias("covered"),
+            (best >= 4).alias("attribute_ok"), ((best >= 0) & (F.floor(best / 2) % 2 == 1)).alias("subject_ok"), ((best >= 0) & (best % 2 == 1)).alias("change_ok"), (best == 7).alias("exact"),
+        )
+
+    def extra(f: Column) -> Column:
+        no = F.lit(False)
+        return F.struct(
+            F.lit("unexpected").alias("kind"), f["attribute"].alias("attribute"), f["change_type"].alias("change_type"), no.alias("covered"),
+            no.alias("attribute_ok"), no.alias("subject_ok"), no.alias("change_ok"), no.alias("exact"),
+        )
+
+    more = F.filter("facts", lambda f: ~F.exists("expected", lambda e: same(f, e)))
+    both = F.concat(F.transform("expected", judged), F.transform(more, extra))
+    return rows.select("case", "language", F.explode(both).alias("x")).select("case", "language", "x.*")

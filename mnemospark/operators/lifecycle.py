@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import LOCAL_DOMAINS
-from ..functions.shared import written
+from ..functions.shared import small, written
 from .ingest import backoff_seconds, within_budget
 
 TREE_DEPTH = 10
@@ -39,9 +39,10 @@ def forget_preview(hits: DataFrame, units: DataFrame, events: DataFrame) -> Data
     """``(kind, id)`` that a deletion of ``hits`` (ids) would touch: the units, the events they
     refer to, and other units that refer to those events."""
     refs = units.select("id", F.explode("references").alias("event_id"))
-    sources = refs.join(F.broadcast(hits.select("id")), "id").select("event_id").distinct()
-    matched = events.select(F.col("id").alias("event_id")).join(F.broadcast(sources), "event_id", "left_semi")
-    also = refs.join(F.broadcast(matched), "event_id", "left_semi").select("id").distinct().join(hits, "id", "left_anti")
+    hits = written(hits.select("id"), "forget-hits")
+    sources = written(refs.join(small(hits), "id").select("event_id").distinct(), "forget-sources")
+    matched = written(events.select(F.col("id").alias("event_id")).join(small(sources), "event_id", "left_semi"), "forget-events")
+    also = refs.join(small(matched), "event_id", "left_semi").select("id").distinct().join(hits, "id", "left_anti")
     rows = hits.select(F.lit("unit").alias("kind"), "id")
     return rows.union(matched.select(F.lit("event"), "event_id")).union(also.select(F.lit("related_unit"), "id"))
 
@@ -60,11 +61,13 @@ def ready_tasks(tasks: DataFrame) -> DataFrame:
     return pending.join(blocked, "task_id", "left_anti")
 
 
-def task_depths(tasks: DataFrame, most: int = TREE_DEPTH) -> DataFrame:
-    """``(task_id, root_id, depth)`` from the roots down, to ``most`` levels. Each level joins
-    the children of the one before, so a level is read once."""
+def task_depths(tasks: DataFrame, most: int = TREE_DEPTH, roots: DataFrame | None = None) -> DataFrame:
+    """``(task_id, root_id, depth)`` from the roots (``task_id``; by default the tasks without a
+    parent) down, to ``most`` levels. Each level joins the children of the one before, so a level
+    is read once."""
     links = tasks.where("parent_id is not null").select("task_id", "parent_id")
-    level = tasks.where("parent_id is null").select("task_id", F.col("task_id").alias("root_id"), F.lit(0).alias("depth"))
+    level = tasks.where("parent_id is null") if roots is None else roots
+    level = level.select("task_id", F.col("task_id").alias("root_id"), F.lit(0).alias("depth"))
     found = level
     for depth in range(1, most + 1):
         level = links.join(level.select(F.col("task_id").alias("parent_id"), "root_id"), "parent_id")
@@ -74,9 +77,13 @@ def task_depths(tasks: DataFrame, most: int = TREE_DEPTH) -> DataFrame:
 
 
 def goal_trees(goals: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Goals with their tasks as ordered structs; goals without tasks stay."""
-    lists = tasks.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("task_id", "status"))).alias("tasks"))
-    return goals.join(lists, "user_id", "left")
+    """``(goal_id, task_id, parent_id, depth, status)``: the tasks below each goal (``goal_id``),
+    those whose parent is the goal at depth 1, to ten levels; a goal without tasks is a row of
+    its own with nulls. A tree is rows, so one of any size is no task's burden."""
+    below = task_depths(tasks, TREE_DEPTH, goals.select(F.col("goal_id").alias("task_id"))).where("depth > 0")
+    below = below.join(tasks.select("task_id", "parent_id", "status"), "task_id")
+    below = below.select(F.col("root_id").alias("goal_id"), "task_id", "parent_id", "depth", "status")
+    return goals.select("goal_id").join(below, "goal_id", "left")
 
 
 def parent_progress(tasks: DataFrame) -> DataFrame:
@@ -112,6 +119,17 @@ def reflection_batch(units: DataFrame, tokens: str, by: str = "user_id", most_un
     return within_budget(first.withColumn("_t", F.greatest(F.lit(1), F.col(tokens))), "_t", most_tokens, order, [by]).drop("_t")
 
 
+def reflection_scope(units: DataFrame, user: str, stream: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """What a reflection on one session (``stream``) or on a stretch of a user's time reads:
+    level-1 units from ``start`` to before ``end``; ``reflection_batch`` cuts it into batches."""
+    rows = units.where((F.col("level") == 1) & (F.col("user_id") == user))
+    if stream is not None:
+        rows = rows.where(F.col("stream_id") == stream)
+    if start is not None:
+        rows = rows.where(F.col("transaction_time") >= start)
+    return rows if end is None else rows.where(F.col("transaction_time") < end)
+
+
 def threshold_crossings(rows: DataFrame, by: str, order: list[str], step: int) -> DataFrame:
     """Rows at which a key's running count reaches a multiple of ``step``."""
     count = F.count("*").over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

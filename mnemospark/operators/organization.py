@@ -15,7 +15,14 @@ MAX_KEYWORDS = 8
 def published_sources(units: DataFrame, policies: DataFrame) -> DataFrame:
     """Level-2 user insights of contributing users in an organization."""
     ok = publishable(F.col("domain"), F.col("level"), F.col("content")) & F.col("org_id").isNotNull()
-    return units.where(ok).join(F.broadcast(policies.where("contribute").select("user_id")), "user_id", "left_semi")
+    return units.where(ok).join(policies.where("contribute").select("user_id"), "user_id", "left_semi")
+
+
+def share_backfill(units: DataFrame, policies: DataFrame, org: str, contributed: DataFrame) -> DataFrame:
+    """Sources that a user's late consent adds to ``org``: the organization's insights of
+    contributing users that are no contribution (``source_id``) yet; running it again adds nothing."""
+    rows = published_sources(units.where((F.col("org_id") == org) & (F.col("level") <= 2)), policies)
+    return rows.join(contributed.select(F.col("source_id").alias("id")), "id", "left_anti")
 
 
 def topic_candidates(units: DataFrame) -> DataFrame:
@@ -75,14 +82,19 @@ def compose_records(sources: DataFrame, by: str = "record") -> DataFrame:
     return out.select(by, "topic_label", content.alias("content"), "keywords", "memory_type", "importance", "valid_time", "sources")
 
 
-def centroid(rows: DataFrame, by: str, vector: str) -> DataFrame:
-    """Element-wise mean of each group's vectors, missing ones left out; null where lengths
-    differ. Sums per (group, position): no vectors are gathered."""
+def centroid(rows: DataFrame, by: str, vector: str, fallback: DataFrame | None = None) -> DataFrame:
+    """Element-wise mean of each group's vectors, missing ones left out; where lengths differ the
+    vector of the group's representative (``fallback``: ``by`` and ``vector``), null without
+    one. Sums per (group, position): no vectors are gathered."""
     kept = rows.where(F.col(vector).isNotNull())
     same = kept.groupBy(by).agg((F.min(F.size(vector)) == F.max(F.size(vector))).alias("same"))
     parts = kept.select(by, F.posexplode(vector).alias("at", "x")).groupBy(by, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     lists = parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
-    return lists.join(same, by).select(by, F.when(F.col("same"), F.col("centroid")).alias("centroid"))
+    out = lists.join(same, by).select(by, F.when(F.col("same"), F.col("centroid")).alias("centroid"))
+    if fallback is None:
+        return out
+    own = fallback.select(by, F.transform(vector, lambda x: x.cast("double")).alias("_own"))
+    return out.join(own, by, "left").select(by, F.coalesce("centroid", "_own").alias("centroid"))
 
 
 def contributions(sources: DataFrame, revoked: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.shared import written
+from ..functions.shared import small, written
 from ..functions.text import keyword_overlap, search_tokens
 from ..functions.times import WEIGHTS, recency, weighted
 from ..functions.vectors import cosine
@@ -95,16 +95,19 @@ def text_terms(text: Column) -> Column:
 def bm25(units: DataFrame, queries: DataFrame, matching: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score)`` of every unit that holds a query term. Statistics are those of
     all ``units``; ``matching`` (ids), if given, only filters the answer. Texts are read once:
-    postings of the batch's terms and lengths leave each task, never whole token lists."""
+    postings of the batch's terms and one length a unit (its row without a term) leave each task,
+    never whole token lists; the statistics come from the written lengths."""
     terms = queries.select("query_id", F.explode(F.array_distinct(text_terms(F.col("text")))).alias("term"))
     terms = written(terms, "query-terms")
-    wanted = F.broadcast(terms.select("term").distinct())
-    # bound to a column before use: the token list is made once a row
-    tokens = units.select("id", text_terms(F.col("content")).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    words = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    tf = words.join(wanted, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    tf = written(tf, "postings")  # of the batch's terms alone
+    wanted = F.broadcast(terms.select(F.col("term").alias("wanted")).distinct())
+    # bound to a variable before use: the token list is made once a row
+    tokens = F.get(F.transform(F.array(text_terms(F.col("content"))), lambda x: F.struct(F.size(x).alias("len"), x.alias("tokens"))), 0)
+    words = units.select("id", tokens.alias("t")).select("id", "t.len", F.explode(F.concat(F.array(F.lit("")), F.coalesce("t.tokens", F.array().cast("array<string>")))).alias("term"))
+    words = words.join(wanted, F.col("term") == F.col("wanted"), "left").where("wanted is not null or term = ''")
+    tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = written(tf, "postings")
+    stats = tf.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("len")) / F.sum(F.when(F.col("len").isNotNull(), F.col("tf")))).alias("avg_len"))
+    tf = tf.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = F.broadcast(terms.join(df, "term").crossJoin(stats).select("query_id", "term", idf.alias("idf"), "avg_len"))
@@ -149,12 +152,13 @@ def expand(hits: DataFrame, edges: DataFrame, known: DataFrame, depth: int, thre
     """Neighbours of the hits over ``depth`` hops, either way along edges: derived and evolved
     ones always, related ones above ``threshold``. A query's frontier is its best ten nodes (of
     the hop before, by edge weight then id), and it stops above 500 results. Found nodes must be
-    in ``known`` (ids), score ``0.8 ** (hop + 1) * 0.8``, and never replace a hit."""
+    in ``known`` (ids), score ``0.8 ** (hop + 1) * 0.8``, and never replace a hit. A hop is one
+    written table: a hub's neighbours are as many rows, broadcast only if they are few."""
     follows = F.col("relation").isin("DerivedFrom", "EvolvedTo") | ((F.col("relation") == "RelatedTo") & (F.col("weight") > threshold))
     useful = edges.where(follows).select("source_id", "target_id", "weight")
     both = useful.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight")
     both = both.unionByName(useful.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "weight"))
-    found = written(hits.select("query_id", "id", "score"), "seeds")
+    found = written(hits.select("query_id", "id", "score"), "seeds")  # top-k: a batch's few rows
     frontier = found.withColumn("order", F.col("score"))
     for hop in range(depth):
         open_queries = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") <= EXPAND_RESULTS).select("query_id")
@@ -164,17 +168,19 @@ def expand(hits: DataFrame, edges: DataFrame, known: DataFrame, depth: int, thre
         step = both.join(F.broadcast(best.select("query_id", F.col("id").alias("a"))), "a")
         step = step.groupBy("query_id", F.col("b").alias("id")).agg(F.max("weight").alias("order"))
         step = step.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        step = written(step.join(known, "id", "left_semi"), "hop")
+        # each hop's ids must be units; those of few are looked up in one pass without a shuffle
+        step = written(step, "hop")
+        ids = known.join(small(step.select("id").distinct()), "id", "left_semi")
+        step = step.join(small(ids), "id", "left_semi")
         found = found.unionByName(step.select("query_id", "id", F.lit(0.8 ** (hop + 1) * 0.8).alias("score")))
-        found = written(found, "expanded")
         frontier = step
     return found
 
 
 def rerank(hits: DataFrame, units: DataFrame, as_of: Column, min_score: float, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Hits joined to their units, scored by similarity, importance and recency, six decimals;
-    those below ``min_score`` go."""
-    rows = units.join(F.broadcast(hits), "id")
+    those below ``min_score`` go. Hits are broadcast by the caller where their number is bounded."""
+    rows = units.join(hits, "id")
     score = weighted(F.col("score"), F.col("importance"), recency("transaction_time", as_of), weights)
     return rows.withColumn("score", F.round(score, 6)).where(F.col("score") >= min_score)
 
@@ -217,7 +223,7 @@ def hybrid(
     seeds = top_k(fuse(lists), 3 * limit)
     known = units.select("id")
     found = expand(seeds, edges, known, depth, threshold)
-    return drop_same_meaning(rerank(found, units, as_of, min_score), limit, same)
+    return drop_same_meaning(rerank(small(found), units, as_of, min_score), limit, same)
 
 
 def with_shared(native: DataFrame, shared: DataFrame, policies: DataFrame, limit: int, min_score: float, same: float = SAME_MEANING) -> DataFrame:
@@ -264,9 +270,28 @@ def auto_links(units: DataFrame, queries: DataFrame, k: int = 5, threshold: floa
 def feedback_weight(rows: DataFrame, by: str, order: str, cited: str, start: float = 1.0) -> DataFrame:
     """Similarity weight after each list: one hundredth up for a cited hit and down for
     another, held within 0.1 and 2 after every step, so order matters."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(cited).alias("c"))))
-    lists = rows.groupBy(by).agg(steps.alias("xs"))
-    move = lambda w, x: F.greatest(F.lit(0.1), F.least(F.lit(2.0), w + F.when(x["c"], 0.01).otherwise(-0.01)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = rows.select(by, order, F.coalesce(F.col(cited), F.lit(False)).alias("_up"))
+    cols = cols.repartitionByRange(parts, by, order).sortWithinPartitions(by, order)
+    kind = to_arrow_type(rows.schema[by].dataType)
+
+    def fold(batches):
+        """A run of steps is again "add, then keep within two bounds": one row a key and part."""
+        runs: list[list] = []
+        for batch in batches:
+            for who, up in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not runs or runs[-1][0] != who:
+                    runs.append([who, 0.0, -np.inf, np.inf])
+                run, by_step = runs[-1], 0.01 if up else -0.01
+                run[1] += by_step
+                run[2], run[3] = (min(2.0, max(0.1, x + by_step)) for x in run[2:])
+        who, *rest = zip(*runs) if runs else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(who, kind), *(pa.array(x, pa.float64()) for x in rest)], names=[by, "add", "low", "high"])
+
+    schema = f"{by} {rows.schema[by].dataType.simpleString()}, add double, low double, high double"
+    runs = cols.mapInArrow(fold, schema).withColumn("part", F.spark_partition_id())
+    lists = runs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("part", "add", "low", "high"))).alias("xs"))  # one a part at most
+    move = lambda w, x: F.greatest(x["low"], F.least(x["high"], w + x["add"]))
     return lists.select(by, F.round(F.aggregate("xs", F.lit(start), move), 6).alias("weight"))
 
 

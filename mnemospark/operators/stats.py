@@ -71,12 +71,14 @@ def merge_counts(parts: DataFrame, by: list[str], sums: list[str], alls: list[st
 
 
 def scorecard(cases: DataFrame, by: list[str]) -> DataFrame:
-    """Share of right answers by each dimension, and over all, in one pass."""
-    rates = [F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("covered", "attribute_ok", "change_ok", "exact")]
-    sets = ", ".join(f"({x})" for x in by)
-    view = cases.select(*by, "covered", "attribute_ok", "change_ok", "exact")
-    parts = [view.groupBy(F.lit(x).alias("dimension"), F.col(x).alias("value")).agg(F.count("*").alias("n"), *rates) for x in by]
-    out = view.agg(F.count("*").alias("n"), *rates).select(F.lit("all").alias("dimension"), F.lit(sets).alias("value"), "n", "covered", "attribute_ok", "change_ok", "exact")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """Shares of right answers among expected facts, and the false negatives and positives, over
+    all (``dimension`` and ``value`` ``all``) and by each of ``by``, in one pass. ``cases``: rows of
+    ``facts.evaluate``."""
+    expected = F.col("kind") == "expected"
+    kinds = ("covered", "attribute_ok", "subject_ok", "change_ok", "exact")
+    rates = [F.round(F.avg(F.when(expected, F.col(c).cast("double"))), 6).alias(c) for c in kinds]
+    wrong = [F.count_if(expected & ~F.col("covered")).alias("false_negatives"), F.count_if(~expected).alias("false_positives")]
+    whole = F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value"))
+    each = F.explode(F.array(whole, *[F.struct(F.lit(x).alias("dimension"), F.col(x).alias("value")) for x in by]))
+    rows = cases.select(each.alias("d"), "kind", *kinds)
+    return rows.groupBy("d.dimension", "d.value").agg(F.count_if(expected).alias("n"), *rates, *wrong)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, times, vectors
-from ..operators import context, ingest
+from ..operators import context, ingest, retrieval
 from .fixtures import Tables
 from .registry import query
 
@@ -85,22 +85,23 @@ def keyword_normalise(t: Tables):
     "C11",
     f"""WITH q AS (SELECT item_id, list_distinct({_RUNS.format('text')}) AS terms FROM benchmark)
     SELECT doc_id, item_id, round(len(list_filter(terms, lambda x: contains({_LOW.format("d.text || ' ' || lang || ' ' || source")}, x))) / len(terms)::DOUBLE, 6) AS overlap
-    FROM documents d JOIN q ON doc_id % 40 = item_id""",
+    FROM documents d, q WHERE item_id % 50 = 0""",
 )
 def text_overlap_score(t: Tables):
-    q = t.benchmark.select("item_id", text.search_tokens("text").alias("terms"))
-    rows = t.documents.join(F.broadcast(q), F.col("doc_id") % 40 == F.col("item_id"))
+    """The stated query set, items whose id is divisible by 50, against all documents."""
+    q = t.benchmark.where("item_id % 50 = 0").select("item_id", text.search_tokens("text").alias("terms"))
+    rows = t.documents.crossJoin(retrieval.batch(q))
     return rows.select("doc_id", "item_id", F.round(text.keyword_overlap("terms", "text", F.array("lang", "source")), 6).alias("overlap"))
 
 
 @query(
     "C12 C13",
     r"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^\pL\pN\s]', ' ', 'g')), '\s+'), lambda x: x <> '')) AS terms FROM benchmark)
-    SELECT doc_id, item_id, len(list_filter(terms, lambda x: contains(lower(d.text), x)))::BIGINT AS score FROM documents d JOIN q ON doc_id % 40 = item_id""",
+    SELECT doc_id, item_id, len(list_filter(terms, lambda x: contains(lower(d.text), x)))::BIGINT AS score FROM documents d, q WHERE item_id % 50 = 0""",
 )
 def overlay_match_score(t: Tables):
-    q = t.benchmark.select("item_id", text.query_terms("text").alias("terms"))
-    rows = t.documents.join(F.broadcast(q), F.col("doc_id") % 40 == F.col("item_id"))
+    q = t.benchmark.where("item_id % 50 = 0").select("item_id", text.query_terms("text").alias("terms"))
+    rows = t.documents.crossJoin(retrieval.batch(q))
     return rows.select("doc_id", "item_id", text.overlay_score("terms", "text").alias("score"))
 
 
@@ -319,13 +320,13 @@ def tombstone_anti(t: Tables):
 
 @query(
     "F3 F4 F7 F8 F13",
-    """SELECT u.id FROM units u WHERE domain IN ('agent', 'user') AND org_id = 'o1' AND user_id IN ('1', '5', '9') AND valid_time >= TIMESTAMP '2024-01-02'
+    """SELECT u.id FROM units u WHERE domain IN ('agent', 'user') AND org_id = 'o2' AND user_id IN ('2', '6', '10') AND valid_time >= TIMESTAMP '2024-01-02'
     AND NOT EXISTS (SELECT 1 FROM tombstones x WHERE x.target_kind = 'memory_unit' AND x.target_id = u.id)""",
     "units tombstones",
 )
 def scoped_units(t: Tables):
     gone = t.tombstones.where("target_kind = 'memory_unit'").select(F.col("target_id").alias("id"))
-    u = t.units.where(F.col("domain").isin(*ids.LOCAL_DOMAINS) & (F.col("org_id") == "o1") & F.col("user_id").isin("1", "5", "9") & times.in_valid_range("valid_time", times.ts("2024-01-02"), None))
+    u = t.units.where(F.col("domain").isin(*ids.LOCAL_DOMAINS) & (F.col("org_id") == "o2") & F.col("user_id").isin("2", "6", "10") & times.in_valid_range("valid_time", times.ts("2024-01-02"), None))
     return u.join(gone, "id", "left_anti").select("id")
 
 

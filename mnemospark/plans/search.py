@@ -54,7 +54,7 @@ def vector_topk_filtered(t: Tables):
     u = t.unit_embeddings.where((F.col("memory_type") == "procedural") & times.in_valid_range("valid_time", times.ts("2024-01-02"), None))
     u = lifecycle.visible(u, t.tombstones)
     hits = retrieval.vector_top_k(u, vector_queries(t), 10)
-    return retrieval.rerank(hits, u, t.as_of, 0.0).select("query_id", "id", "score")
+    return retrieval.rerank(F.broadcast(hits), u, t.as_of, 0.0).select("query_id", "id", "score")
 
 
 _BM25 = r"""terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS term FROM benchmark),
@@ -108,7 +108,7 @@ def rrf_fusion(t: Tables):
 )
 def hybrid_rank(t: Tables):
     seeds = retrieval.top_k(retrieval.fuse(_lists(t)), 30)
-    return retrieval.rerank(seeds, t.units, t.as_of, 0.5).select("query_id", "id", "score")
+    return retrieval.rerank(F.broadcast(seeds), t.units, t.as_of, 0.5).select("query_id", "id", "score")
 
 
 _EXPAND = f"""{_FUSE}, {analytics._UNIT_EDGES},
@@ -239,20 +239,18 @@ def chat_context(t: Tables):
 
 @query(
     "U1 R3",
-    """WITH tiers AS (SELECT item_id AS query_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY item_id, doc_id % 2 ORDER BY doc_id) - 1 AS rank
-      FROM benchmark JOIN documents ON doc_id % 40 = item_id),
+    """WITH tiers AS (SELECT * FROM (SELECT item_id AS query_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY item_id, doc_id % 2 ORDER BY n_chars DESC, doc_id::VARCHAR) - 1 AS rank
+      FROM benchmark, documents WHERE item_id % 50 = 0) WHERE rank < 6),
     both_tiers AS (SELECT * FROM tiers UNION ALL SELECT query_id, id, 1, rank FROM tiers WHERE tier = 0 AND id::BIGINT % 3 = 0),
     f AS (SELECT query_id, id, min((tier, rank)) AS x FROM both_tiers GROUP BY 1, 2)
     SELECT query_id, id, n - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, id) AS n FROM f) WHERE n <= 8""",
 )
 def tier_union(t: Tables):
-    from pyspark.sql import Window
-
-    rows = t.documents.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").cast("string").alias("id"), "doc_id")
-    rows = rows.join(t.benchmark.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
-    w = Window.partitionBy("query_id").orderBy("doc_id")
-    recent = rows.where("doc_id % 2 = 0").withColumn("rank", F.row_number().over(w) - 1)
-    indexed = rows.where("doc_id % 2 = 1").withColumn("rank", F.row_number().over(w) - 1).unionByName(recent.where("doc_id % 3 = 0"))
+    """The best six of two tiers, some in both, for the stated query set against all documents."""
+    stated = retrieval.batch(t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id")))
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("n_chars").alias("score")).crossJoin(stated)
+    recent = retrieval.top_k(rows.where("doc_id % 2 = 0"), 6)
+    indexed = retrieval.top_k(rows.where("doc_id % 2 = 1"), 6).unionByName(recent.where("doc_id % 3 = 0"))
     return retrieval.merge_tiers([recent, indexed], 8).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -268,13 +266,15 @@ def feedback_weights(t: Tables):
 
 @query(
     "R24 T17",
-    """WITH c AS (SELECT doc_id // 20 AS g, doc_id::VARCHAR AS id FROM labels WHERE quality = 1), p AS (SELECT a.id AS source_id, b.id AS target_id, count(*) AS times FROM c a JOIN c b USING (g) WHERE a.id <> b.id GROUP BY 1, 2)
-    SELECT source_id, target_id, round(least(1.0, 0.1 * times), 6)::DOUBLE AS weight FROM p""",
+    f"""WITH {analytics._UNIT_EDGES}, c AS (SELECT doc_id // 20 AS g, doc_id::VARCHAR AS id FROM labels WHERE quality = 1), p AS (SELECT a.id AS source_id, b.id AS target_id, count(*) AS times FROM c a JOIN c b USING (g) WHERE a.id <> b.id GROUP BY 1, 2),
+    e AS (SELECT source_id, t::VARCHAR AS target_id, max(weight) AS weight FROM unit_edges WHERE relation = 'RelatedTo' GROUP BY 1, 2 UNION ALL SELECT (doc_id + 1)::VARCHAR, doc_id::VARCHAR, 0.55 FROM documents WHERE doc_id % 2 = 0)
+    SELECT source_id, target_id, round(least(1.0, coalesce((SELECT max(e.weight) FROM e WHERE e.source_id = p.source_id AND e.target_id = p.target_id), 0) + 0.1 * times), 6)::DOUBLE AS weight FROM p""",
 )
 def reinforced_edges(t: Tables):
     cited = t.labels.where("quality = 1").select(F.floor(F.col("doc_id") / 20).alias("g"), F.col("doc_id").cast("string").alias("id"))
-    none = t.edges.where(F.lit(False))
-    return retrieval.reinforced_edges(cited, none, "g").select("source_id", "target_id", "weight")
+    back = t.documents.where("doc_id % 2 = 0").select((F.col("doc_id") + 1).cast("string").alias("source_id"), F.col("doc_id").cast("string").alias("target_id"), F.lit("RelatedTo").alias("relation"), F.lit(0.55).alias("weight"))
+    edges = analytics.unit_edges(t).unionByName(back)
+    return retrieval.reinforced_edges(cited, edges, "g").select("source_id", "target_id", "weight")
 
 
 @query("R25", "SELECT id, round(coalesce(CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 10.0 END, importance), 6)::DOUBLE AS score FROM units", "units")
