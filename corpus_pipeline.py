@@ -32,8 +32,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced; ``n_chars`` follows the text."""
+    """Personal values replaced; a column ``n_chars``, if there is one, follows the text."""
     out = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
