@@ -280,6 +280,68 @@ def hydrate(units: DataFrame, extracted: str) -> DataFrame:
     return rows.withColumn("facts", F.get(F.transform(F.array(chosen), once), 0))
 
 
+STORED = (
+    "struct<subject:string,subject_ref:string,subject_name:string,attribute:string,value:string,canonical_value:string,"
+    "change_type:string,temporal_status:string,polarity:string,evidence_span:string,confidence:double>"
+)
+
+
+def stored(facts: Column) -> Column:
+    """Facts as they are stored: what a change says of time and sign is told, confidence is a share."""
+
+    def one(f: Column) -> Column:
+        change = f["change_type"]
+        when = F.when(change == "historical", "historical").when(change == "negation", "negated").otherwise("current")
+        sign = F.when(change.isin("negation", "contradiction"), "negative").otherwise("positive")
+        none = F.lit(None).cast("string")
+        return F.struct(
+            f["subject"].alias("subject"), f["subject_key"].alias("subject_ref"), none.alias("subject_name"), f["attribute"].alias("attribute"), f["value"].alias("value"),
+            f["canonical_value"].alias("canonical_value"), change.alias("change_type"), when.alias("temporal_status"), sign.alias("polarity"), none.alias("evidence_span"),
+            (f["confidence"] / 100).alias("confidence"),
+        )
+
+    return F.transform(facts, one)
+
+
+def described(rows: DataFrame, col: str, out: str = "facts") -> DataFrame:
+    """Add ``out``: facts of ``col`` (stored ones, or a model's of the same fields). Labels may be
+    synonyms and the change is told by sign, time and name in this order; a fact whose subject or
+    attribute has no label, or without a value, goes. A subject that isn't named is the unit's
+    user or an unknown one."""
+    from .correction import ATTRIBUTES as ATTRIBUTE_WORDS
+    from .correction import SUBJECTS, parsed, resolve_change
+
+    @F.pandas_udf("array<struct<canonical:string,kind:string>>")
+    def canon(facts: pd.Series) -> pd.Series:
+        out = []
+        for each in facts:
+            found = [(f["known"] or canonical(f["attribute"], f["value"])) if f["attribute"] and f["value"] else None for f in (each if each is not None else ())]
+            out.append([{"canonical": c, "kind": value_kind(f["attribute"], c) if c else None} for f, c in zip(each if each is not None else (), found)])
+        return pd.Series(out)
+
+    def labelled(f: Column) -> Column:
+        value = F.trim(F.regexp_replace(f["value"], r"\s+", " "))
+        return F.struct(parsed(f["attribute"], ATTRIBUTE_WORDS).alias("attribute"), value.alias("value"), f["canonical_value"].alias("known"))
+
+    def fact(f: Column, said: Column, c: Column) -> Column:
+        subject, attribute = parsed(f["subject"], SUBJECTS), said["attribute"]
+        own = F.when(subject == "user", "user:self").otherwise(F.concat(subject, F.lit(":unknown")))
+        named = F.concat(subject, F.lit(":"), F.regexp_replace(F.lower(f["subject_name"]), r"[^\p{L}\p{N}]+", "_"))
+        key = F.coalesce(f["subject_ref"], F.when(F.trim(f["subject_name"]) != "", named), own)
+        change = resolve_change(f["polarity"], f["temporal_status"], f["change_type"], attribute)
+        points = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), f["confidence"])) * 100).cast("int")
+        return F.struct(
+            subject.alias("subject"), key.alias("subject_key"), attribute.alias("attribute"), said["value"].alias("value"), c["canonical"].alias("canonical_value"),
+            c["kind"].alias("value_kind"), change.alias("change_type"), points.alias("confidence"),
+        )
+
+    said = F.transform(col, labelled)
+    parts = F.arrays_zip(F.col(col).alias("f"), said.alias("said"), canon(said).alias("c"))
+    facts = F.transform(parts, lambda x: fact(x["f"], x["said"], x["c"]))
+    whole = F.filter(facts, lambda f: f["subject"].isNotNull() & f["attribute"].isNotNull() & (f["value"] != ""))
+    return rows.withColumn(out, F.coalesce(whole, F.array().cast(f"array<{FACT}>")))
+
+
 EXPECTED = "array<struct<attribute:string,value:string,subject_key:string,change_type:string>>"
 
 

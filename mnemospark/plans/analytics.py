@@ -862,6 +862,21 @@ def fact_extract(t: Tables):
     return rows.select("id", "attribute", "value", "subject_key", "change_type", F.col("confidence").cast("long").alias("confidence"))
 
 
+@query(
+    "X11",
+    f"""WITH {_facts_sql(True)} SELECT id, attribute, value, subject_key, change_type, confidence::BIGINT AS confidence,
+    CASE change_type WHEN 'historical' THEN 'historical' WHEN 'negation' THEN 'negated' ELSE 'current' END AS temporal_status, CASE WHEN change_type IN ('negation', 'contradiction') THEN 'negative' ELSE 'positive' END AS polarity
+    FROM (SELECT id, attribute, value, subject_key, change_type, confidence FROM units JOIN f ON doc_id % {_N} = n)""",
+    "units",
+)
+def fact_conversions(t: Tables):
+    """Facts to their stored form and back again."""
+    rows = facts.detect_facts(_stated(t)).select("id", facts.stored(F.col("facts")).alias("kept"))
+    back = facts.described(rows, "kept")
+    each = back.select("id", F.explode(F.arrays_zip("facts", "kept")).alias("x")).select("id", "x.facts.*", "x.kept.temporal_status", "x.kept.polarity")
+    return each.select("id", "attribute", "value", "subject_key", "change_type", F.col("confidence").cast("long").alias("confidence"), "temporal_status", "polarity")
+
+
 @query(
     "X12 X13",
     f"""WITH {_facts_sql(True)}, s AS (SELECT id, doc_id, doc_id % {_N} AS k FROM units WHERE level = 1 AND memory_type = 'factual'),

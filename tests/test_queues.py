@@ -147,6 +147,24 @@ def test_hydration_keeps_the_first_of_a_key(spark):
     assert got == {1: [("X", "update", 1), ("x", "addition", 2), ("y", "update", 3)], 2: [("Finnish", "addition", 75)], 3: [], 4: []}
 
 
+def test_facts_of_a_model_are_described(spark):
+    f = lambda *x: dict(zip(("subject", "subject_ref", "subject_name", "attribute", "value", "canonical_value", "change_type", "temporal_status", "polarity", "evidence_span", "confidence"), x))
+    rows = [
+        (1, [f("Person", None, None, "home", "  New   Town ", None, "replaced?", None, None, None, 0.9), f("company", None, "Tidewater Studio", "job", "Ferry", None, "added", "past", None, None, 1.7), f("user", "user:self", None, "likes", "to row", None, "update", None, "false", None, 0.5)]),
+        (2, [f("nobody", None, None, "home", "x", None, "update", None, None, None, 0.9), f("user", None, None, "shoe size", "x", None, "update", None, None, None, 0.9), f("user", None, None, "home", " ", None, "update", None, None, None, 0.9)]),
+        (3, None),
+    ]
+    units = spark.createDataFrame(rows, f"n int, said array<{facts.STORED}>")
+    got = {r.n: [tuple(x) for x in r.facts] for r in facts.described(units, "said").collect()}
+    assert got == {
+        1: [
+            ("user", "user:self", "residence", "New Town", "new town", "city", "reaffirm", 90), ("organization", "organization:tidewater_studio", "employment", "Ferry", "ferry", "organization_name", "historical", 100),
+            ("user", "user:self", "preference", "to row", "row", "freeform", "contradiction", 50),
+        ],
+        2: [], 3: [],
+    }
+
+
 def test_semantic_dedup_equals_a_loop(spark):
     t = Tables(spark, SF)
     rows = {r.vec_id: np.array(r.embedding, float) for r in t.embeddings.collect()}
