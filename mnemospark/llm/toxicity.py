@@ -66,10 +66,10 @@ class Letters:
     points: np.ndarray  # code points in the order of their codes, from 4 on
     _table: np.ndarray | None = field(default=None, repr=False)
 
-    def keys(self, expressions: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def keys(self, expressions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every letter and every end: the number of its expression, the length of its
-        history with itself (at most ``ORDER``), and for each length up to that the key of the
-        last so many letters."""
+        history with itself (at most ``ORDER``), and the key of that many letters, the last in
+        the lowest bits."""
         if self._table is None:
             self._table = np.full(0x110000, _UNKNOWN, np.int64)
             self._table[self.points] = np.arange(4, 4 + len(self.points))
@@ -81,37 +81,37 @@ class Letters:
         inner[ends - sizes] = inner[ends - 1] = False
         codes[inner] = self._table[np.frombuffer(line, np.uint32)]
         codes[ends - sizes], codes[ends - 1] = _START, _END
-        owner = np.repeat(np.arange(len(expressions)), sizes)
+        owner = np.repeat(np.arange(len(expressions), dtype=np.int32), sizes)
         at = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
-        keys, long = [codes], codes
+        length = np.minimum(at + 1, ORDER).astype(np.int8)
+        keys = codes.copy()
         for n in range(1, ORDER):
-            long = long.copy()
-            long[n:] += codes[:-n] << (_BITS * n)
-            keys.append(long)
+            before = np.flatnonzero(length > n)
+            keys[before] += codes[before - n] << (_BITS * n)
         said = at > 0
-        return owner[said], np.minimum(at[said] + 1, ORDER), [k[said] for k in keys]
+        return owner[said], length[said], keys[said]
 
     def __getstate__(self):
         return {"points": self.points, "_table": None}
 
 
-def _shorter(keys: np.ndarray, length: int) -> np.ndarray:
-    return keys & ((1 << (_BITS * (length - 1))) - 1)
+def _last(keys: np.ndarray, letters: int) -> np.ndarray:
+    return keys & ((1 << (_BITS * letters)) - 1)
 
 
 class Grams:
     """All letter histories of a list of expressions, by length, with what they lead to."""
 
     def __init__(self, letters: Letters, expressions: list[str]):
-        self.owner, self.length, keys = letters.keys(expressions)
+        self.owner, length, keys = letters.keys(expressions)
         self.expressions = len(expressions)
         self.own, self.at, self.below, self.context, self.contexts = {}, {}, {}, {}, {}
         longer = np.empty(0, np.int64)
         for n in range(ORDER, 0, -1):
-            whole = self.length == n  # nothing stands before these
-            self.own[n], back = np.unique(np.concatenate((keys[n - 1][whole], _shorter(longer, n + 1))), return_inverse=True)
-            self.at[n] = np.flatnonzero(whole), back[: whole.sum()].astype(np.int32)
-            self.below[n + 1] = back[whole.sum() :].astype(np.int32)
+            whole = np.flatnonzero(length == n).astype(np.int32)  # nothing stands before shorter ones
+            self.own[n], back = np.unique(np.concatenate((keys[whole], _last(longer, n))), return_inverse=True)
+            back = back.astype(np.int32)
+            self.at[n], self.below[n + 1] = (whole, back[: len(whole)]), back[len(whole) :]
             self.contexts[n], self.context[n] = np.unique(self.own[n] >> _BITS, return_inverse=True)
             longer = self.own[n]
 
@@ -158,11 +158,11 @@ class Table:
         for n in range(ORDER, SHARED, -1):
             now = left[length[left] >= n]
             gram, value = self.ratios[n]
-            found, place = _find(gram, keys[n - 1][now])
+            found, place = _find(gram, _last(keys[now], n))
             total[now[found]] += value[place]
             lost = now[~found]
             context, weight = self.weights[n]
-            known, place = _find(context, keys[n - 1][lost] >> _BITS)
+            known, place = _find(context, _last(keys[lost], n) >> _BITS)
             total[lost[known]] += weight[place]
             left = np.concatenate((left[length[left] < n], lost))
         return np.bincount(owner, total, len(expressions))
@@ -289,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = found.orderBy("w").toArrow()  # the words of a bounded sample
     expressions = found.column("w").to_pylist()
     n = np.array([found.column(f"n{f}{c}").to_numpy() for f, c in cells], float).reshape(FOLDS, 2, -1).transpose(0, 2, 1)
+    del found
     if not n.any((0, 1)).all():
         return Model()
     points, times = np.unique(np.frombuffer("".join(expressions).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
