@@ -226,3 +226,18 @@ def test_two_phases_only_split_and_louvain_gains(spark):
     alone = found.select("node", F.col("node").alias("community"))
     value = lambda labels: graph.modularity(small, labels).first().modularity
     assert value(found) > max(0.2, value(alone))
+
+
+def test_large_graphs_are_moved_by_joins(spark, monkeypatch):
+    from mnemospark.operators import community, graph
+
+    rng = random.Random(4)
+    rows = [(u, f"{c}{i}", f"{c}{j}", 1.0) for u in "uv" for c in "xyz" for i in range(12) for j in range(i) if rng.random() < 0.7]
+    rows += [(u, a, b, 0.2) for u in "uv" for a, b in (("x0", "y0"), ("y1", "z1"), ("x2", "z2"), ("x3", "x3"))] + [("w", "p", "q", 1.0)]
+    edges = spark.createDataFrame(rows, "user_id string, source_id string, target_id string, weight double")
+    whole = {(r.user_id, r.node): r.community for r in community.louvain(edges).collect()}
+    monkeypatch.setattr(community, "TASK_EDGES", 10)
+    found = community.louvain(edges)
+    assert {(r.user_id, r.node): r.community for r in found.collect()} == whole and len(set(whole.values())) >= 4
+    one = edges.where("user_id = 'u'")
+    assert graph.modularity(one, community.louvain(one).select("node", "community")).first().modularity > 0.5
