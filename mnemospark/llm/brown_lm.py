@@ -40,6 +40,7 @@ SHAPES = 8
 ADD = 0.1
 PULL = 4.0  # pseudo-count of the class unigrams in a transition
 _FLUSH = 4_000_000  # different pairs of neighbours or words that a task holds
+_MOST = 65535
 
 
 def words(text: str | None) -> list[bytes]:
@@ -162,25 +163,44 @@ def _word_counts(batches):
     yield rows(seen)
 
 
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of ``values`` as binary values: copied whole, where lists would go one by one."""
+    offsets = pa.py_buffer((cuts * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(values)])
+
+
+def _runs(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column, and where each row's begin and end."""
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data.slice(int(cuts[0]), int(cuts[-1] - cuts[0])), kind) if data is not None else np.empty(0, kind)
+    return values, (cuts - cuts[0]) // size
+
+
 def _tally(held):
     """Rows with a ``state``: its neighbours behind it (``after``) or before it and how often
     they are. Rows with a ``key``: a rare word and its count in that text; without a word, a
     mark for each text."""
     names = ["state", "after", "near", "times", "key", "word", "n"]
-    kinds = [pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.int64()]
+    kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
 
     def lists(pairs, size):
         codes, times = pairs
+        again = -(-times // _MOST)  # counts are kept in two bytes: larger ones are several
+        at = np.repeat(np.arange(len(codes)), again)
+        rest = times[at] - _MOST * (np.arange(len(at)) - np.repeat(np.cumsum(again) - again, again))
+        codes, times = codes[at], np.minimum(rest, _MOST)
         for after in (True, False):
             own, near = codes // size, codes % size
             if not after:
                 order = np.argsort(near, kind="stable")
                 own, near, times = near[order], own[order], times[order]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            cuts = pa.array(np.append(first, len(own)), pa.int32())
+            cuts = np.append(first, len(own))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own[first], kinds[0]), pa.array(np.full(len(first), after))]
-                + [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (near, times)]
+                + [_blobs(near.astype(np.int32), cuts), _blobs(times.astype(np.uint16), cuts)]
                 + [pa.nulls(len(first), k) for k in kinds[4:]],
                 names=names,
             )
@@ -222,6 +242,20 @@ def _tally(held):
     return run
 
 
+def _joined(batches):
+    """Rows in the order of (``state``, ``after``): one row for each, the lists one behind another."""
+    for batch in batches:
+        state, after = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(state):
+            continue
+        first = np.flatnonzero(np.append(True, (state[1:] != state[:-1]) | (after[1:] != after[:-1])))
+        joined = []
+        for k, kind in ((2, np.int32), (3, np.uint16)):
+            values, cuts = _runs(batch.column(k), kind)
+            joined.append(_blobs(values, np.append(cuts[first], cuts[-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(state[first]), pa.array(after[first]), *joined], names=batch.schema.names)
+
+
 def _by_class(held, result):
     """One round over some states' neighbours: ``result`` of the states, and of how often each
     class stands before (row 0) and behind (row 1) them."""
@@ -232,13 +266,15 @@ def _by_class(held, result):
         number: dict[int, int] = {}
         sums = np.zeros((0, 2 * k))
         for batch in pieces(batches, 20000):
-            state, after, near, times = (batch.column(i) for i in range(4))
+            state, after = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            near, cuts = _runs(batch.column(2), np.int32)
+            times, _ = _runs(batch.column(3), np.uint16)
             own = np.array([number.setdefault(x, len(number)) for x in state.to_pylist()], np.int64)
             if len(number) > len(sums):
                 sums = np.concatenate((sums, np.zeros((max(len(sums), len(number) - len(sums), 256), 2 * k))))
-            cell = np.repeat(own * 2 + after.to_numpy(zero_copy_only=False), near.value_lengths().to_numpy())
-            cell = cell * k + classes[near.flatten().to_numpy()]
-            sums += np.bincount(cell, times.flatten().to_numpy(), sums.size).reshape(sums.shape)
+            used, at = np.unique(own, return_inverse=True)
+            cell = np.repeat((at * 2 + after) * k, np.diff(cuts)) + classes[near]
+            sums[used] += np.bincount(cell, times, len(used) * 2 * k).reshape(-1, 2 * k)
         yield from result(np.array(list(number), np.int64), sums[: len(number)].reshape(-1, 2, k))
 
     return run
@@ -291,13 +327,10 @@ def cluster(contexts: DataFrame, head: int) -> np.ndarray:
     """Class of each state: head words share ``n_classes``, shapes and the end stay alone."""
     k, core, size = n_classes(head), min(CORE, head), head + SHAPES + 1
     start = np.concatenate((np.arange(core), core + np.arange(size - head)))  # core words alone
-    own = contexts.where(F.col("after") & ((F.col("state") < core) | (F.col("state") >= head)))
-    pairs = own.select("state", F.explode(F.arrays_zip("near", "times")).alias("x")).select("state", "x.near", "x.times")
-    pairs = pairs.where((F.col("near") < core) | (F.col("near") >= head)).groupBy("state", "near").agg(F.sum("times").alias("n")).toPandas()
-    counts = np.zeros((len(start), len(start)))
-    place = np.full(size, -1)
+    place = np.full(size, len(start))  # words that are not exchanged: one further class
     place[np.concatenate((np.arange(core), np.arange(head, size)))] = start
-    counts[place[pairs["state"].to_numpy(np.int64)], place[pairs["near"].to_numpy(np.int64)]] = pairs["n"]
+    own = contexts.where((F.col("state") < core) | (F.col("state") >= head))
+    counts = _gathered(own, place)[: len(start), : len(start)]
     of = exchange(counts, core, k)
     classes = np.empty(size, np.int64)
     classes[:core], classes[head:] = of[:core], k + np.arange(SHAPES + 1)
@@ -319,11 +352,14 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     head, heads = len(vocabulary.head), top.column("c").to_numpy()
 
     held = spark.sparkContext.broadcast(vocabulary)
-    kinds = "state int, after boolean, near array<int>, times array<int>, key long, word binary, n long"
+    kinds = "state int, after boolean, near binary, times binary, key long, word binary, n long"
     tally = written(rows.mapInArrow(_tally(held), kinds), "lm-tally")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     contexts = tally.where("state is not null").select("state", "after", "near", "times")
-    contexts = written(contexts.repartition(parts, "state"), "lm-contexts")
+    # the lists of a word that moves meet in one part; those of the most frequent needn't and are spread
+    spread = F.when((F.col("state") < CORE) | (F.col("state") >= head), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(0)
+    contexts = contexts.repartition(parts, F.col("state"), spread).sortWithinPartitions("state", "after")
+    contexts = written(contexts.mapInArrow(_joined, contexts.schema), "lm-contexts")
     classes = cluster(contexts, head)
 
     length = F.least(F.floor(F.octet_length("word") / 3), F.lit(SHAPES - 1)).cast("int")
