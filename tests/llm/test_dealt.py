@@ -953,6 +953,8 @@ def test_sharding_query(spark, documents):
         raw = (documents[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "key")
         assert 0 <= r.shard < 8 and r.grown_shard in (r.shard, 8)
+        key = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42)
+        assert (r.shard, r.grown_shard) == (plain_jump(key, 8), plain_jump(key, 9))
         slots[r.shard].append(r.slot)
     assert len(rows) == len(documents) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
