@@ -61,7 +61,7 @@ PATTERNS = {
         rf"\b(?:correo|teléfono)\s+es\s+{_V}", rf"\b(?:e-?mail|téléphone)\s+est\s+{_V}", rf"\b(?:e-?mail|telefonnummer)\s+ist\s+{_V}",
         rf"\b(?:e-?mail|telefone)\s+é\s+{_V}", rf"(?:メール|電話)(?:アドレス|番号)?は\s*(?P<v>.+?)(?:です|$)",
     ],
-    "ownership": [rf"\b(?:owns?|bought)\s+{_V}", rf"\bI\s+have\s+(?=an?\s){_V}", rf"(?:拥有|买了){_V}"],
+    "ownership": [rf"\b(?:owns?|bought|sold)\s+(?:my\s+)?{_V}", rf"\bI\s+have\s+(?=an?\s){_V}", rf"(?:拥有|买了){_V}"],
     "skill": [
         rf"\b(?:speaks?|fluent\s+in|skilled\s+(?:in|at)|good\s+at|proficient\s+in|expert\s+in)\s+{_V}", rf"(?:擅长|精通|熟悉|会说){_V}", rf"\bhablo\s+{_V}", rf"\bje\s+parle\s+{_V}", rf"\bich\s+spreche\s+{_V}", rf"\bfalo\s+{_V}",
     ],
@@ -72,12 +72,12 @@ TRANSITIONS = {
     "contact": [r"\b(?:e-?mail|phone|number)\b.*?\bfrom\s+(?P<a>\S.*?)\s+to\s+(?P<b>.+)", r"(?:邮箱|电话|手机号?)从\s*(?P<a>.+?)\s*(?:改成|换成|改为|改到)\s*(?P<b>.+)"],
     "employment": [r"\bleft\s+(?P<a>.+?)\s+(?:to\s+join|for)\s+(?P<b>.+)", r"\b(?:switched|changed)\s+(?:jobs|employers|companies)\s+from\s+(?P<a>.+?)\s+to\s+(?P<b>.+)", r"从(?P<a>.+?)跳槽到(?P<b>.+)"],
 }
-#: Change types by marker, the first that fits counts.
+# Words that mark a change, by type; the first type that fits counts.
 CHANGES = [
-    ("negation", r"\bno longer\b|\bnot\b|n't\b|\bnever\b|\banymore\b|不再|不喜欢|不是|没有|\bya no\b|\bne\b.*\b(?:plus|pas)\b|\bn['’].*\b(?:plus|pas)\b|\bnicht\b|\bkein|\bnão\b|ません|じゃない|\b(?:dislikes?|hates?)\b|讨厌|嫌い"),
-    ("addition", r"\balso\b|\btoo\b|\bas well\b|\badditionally\b|还|也(?!许)|\btambién\b|\baussi\b|\bauch\b|\btambém\b"),
-    ("update", r"\bnow\b|\bmoved\b|\bchanged\b|\bswitched\b|\brescheduled\b|\bjoined\b|现在|如今|改成|改到|改为|换成|搬到|搬去|\bahora\b|\bmaintenant\b|\bjetzt\b|\bagora\b|今は"),
-    ("historical", r"\bused to\b|\bpreviously\b|\bformerly\b|\b(?:lived|worked)\b|之前|以前|曾经|\bantes\b|\bavant\b|\bfrüher\b"),
+    ("negation", r"\bno longer\b|\bnot\b|n't\b|\bnever\b|\banymore\b|\b(?:stopped|quit|left|cancell?ed|sold)\b|不再|不喜欢|不是|没有|没在|没住在|停止|离开|取消|卖掉|\bya no\b|\bno me gusta\b|\bne\b.*\b(?:plus|pas)\b|\bn['’].*\b(?:plus|pas)\b|\bj['’]aime pas\b|\bnicht\b|\bkein|\bn[ãa]o\b|ません|じゃない|\b(?:dislikes?|hates?)\b|讨厌|嫌い"),
+    ("addition", r"\balso\b|\btoo\b|\bas well\b|\badditionally\b|\banother\b|还|也(?!许)|另外|\btambién\b|\baussi\b|\bauch\b|\btamb[ée]m\b"),
+    ("update", r"\bnow\b|\bcurrently\b|\bmoved\b|\bchanged?\b|\bupdated\b|\bswitched\b|\brescheduled\b|\bjoined\b|\bbecame\b|现在|目前|刚刚|已经|如今|改成|改到|改为|换成|更新|搬到|搬去|加入|成为|\bahora\b|\bmaintenant\b|\bactuellement\b|\bd[ée]sormais\b|\bjetzt\b|\bderzeit\b|\bnun\b|\bagora\b|\batualmente\b|今は"),
+    ("historical", r"\bused to\b|\bpreviously\b|\bformerly\b|\bbefore\b|\b(?:lived|worked)\b|之前|以前|曾经|过去|原来|\bantes\b|\bavant\b|\bauparavant\b|\bautrefois\b|\bfr[üu]her\b|\bvorher\b|\bantigamente\b|前は"),
 ]
 _QUESTION = re.compile(r"^(?:(?:can|could|would|will|do|does|did|is|are|am|was|were|what|where|when|who|why|how|which)\s.*|.*[吗么呢]$)", re.I)
 _GUESS = re.compile(r"\b(?:maybe|perhaps|might|probably|possibly|i think|i guess|quizás?|peut-être|vielleicht|talvez)\b|可能|也许|大概|应该会|かもしれ", re.I)
@@ -86,11 +86,12 @@ _SUPPOSED = re.compile(r"^(?:if|suppose|supposing|imagine|for example|for instan
 _NOISE = re.compile(r"^(?:btw|by the way|actually|uh+|um+|well|so|ok(?:ay)?|hey|oh|fyi|quick (?:update|cleanup|note)|scratch that|update|不是|其实|对了|顺便说一下)(?:[\s,:，：]+|$)", re.I)
 _ADVERB = r"(?:now|also|still|currently|no longer|used to|previously|formerly)"
 _SENTENCE = re.compile(r"(?<=[。！？；;!?\n])|(?<=\.)(?=\s|$)")
-_CLAUSE = re.compile(r"[,，、]\s*(?![0-9])|\s+(?:and|but|y|pero|et|mais|und|aber|e|mas)\s+|并且|而且|但是|同时")
+# What clauses are cut at; words of addition stay with the clause they open.
+_CLAUSE = re.compile(r"[,，、]\s*(?![0-9])|\s+(?:and|but|y|pero|et|mais|und|aber|e|mas)\s+|并且|而且|但是|同时|\s+(?=(?:also|también)\s)|(?<=.)(?=另外)")
 _ORG = re.compile(r"(?:\b(?:Inc|Corp|Corporation|Ltd|LLC|GmbH|Labs?|Company|Group|University|Bank|Studio|Technologies|Systems)\.?|公司|集团|大学|银行|研究所|工作室)$")
 _NAME = re.compile(r"^((?:[A-ZÀ-Þ][\w'’.-]*)(?:\s+[A-ZÀ-Þ][\w'’.-]*){0,3})\s+(?=[a-zà-ÿ])")
 _CJK_NAME = re.compile(r"^(?!现在|之前|以前|曾经|如今)([一-鿿]{2,10}?)(?=现在|之前|以前|也|还|不再|住在|位于|喜欢|在.+?(?:工作|上班)|擅长|精通|老婆|妻子|丈夫|老公|的?邮箱|是(?:一名|一位))")
-_NOT_NAMES = set("I I'm I've My The A An We Our You He She It They This That His Her Their There Also Now Can If Je J'habite J'aime Mon Ma Ich Meine Mein Vivo Mi Trabajo Me Moro Meu Trabalho Gosto Sou Soy Le La El Die Der Das 我 我们 他 她 你 会议 面试".split())
+_NOT_NAMES = set("I I'm I've My The A An We Our You He She It They This That His Her Their There Also Now Currently Previously Before Then Antes Ahora Maintenant Avant Jetzt Früher Agora Can If Je J'habite J'aime Mon Ma Ich Meine Mein Vivo Mi Trabajo Me Moro Meu Trabalho Gosto Sou Soy Le La El Die Der Das 我 我们 他 她 你 会议 面试".split())
 _SAID = re.compile(r"^(?P<who>.+?)\s*(?:\bsaid\b|\bsays\b|\bmentioned\b|\btold me\b|说)\s*(?:that\s+)?[:：,，]?\s*(?P<what>.+)$")
 _FIRST = re.compile(r"\b(?:I|I'm|I've|my|me|mi|je|mon|ma|ich|meine?|meu|minha)\b|\bj['’]|我|私|^(?:vivo|trabajo|soy|hablo|moro|trabalho|sou|gosto|falo)\b", re.I)
 _TEAM = re.compile(r"\b(?:we|our|us)\b|我们|咱们", re.I)
@@ -197,7 +198,7 @@ def detect(content: str | None, domain: str = "user", agent_id: str | None = Non
         if sentence.endswith(("?", "？")):
             continue
         last = None
-        for clause in (c.strip(" :：") for c in _CLAUSE.split(bare)):
+        for clause in {c.strip(" :：").lower(): c.strip(" :：") for c in _CLAUSE.split(bare)}.values():
             while (cut := _NOISE.sub("", clause)) != clause:
                 clause = cut
             if _SUPPOSED.match(clause):

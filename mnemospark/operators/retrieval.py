@@ -22,6 +22,7 @@ MAX_QUERIES = 10_000  # of one batch: what is broadcast stays bounded
 RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 EXPAND_FRONTIER, EXPAND_RESULTS = 10, 500
+FEW_NODES = 1_000_000  # ids that are broadcast
 LINK_THRESHOLD = 0.6
 SAME_MEANING = 0.92
 SHARED_FACTOR = 0.7
@@ -152,12 +153,11 @@ def expand(hits: DataFrame, edges: DataFrame, known: DataFrame, depth: int, thre
     """Neighbours of the hits over ``depth`` hops, either way along edges: derived and evolved
     ones always, related ones above ``threshold``. A query's frontier is its best ten nodes (of
     the hop before, by edge weight then id), and it stops above 500 results. Found nodes must be
-    in ``known`` (ids), score ``0.8 ** (hop + 1) * 0.8``, and never replace a hit. A hop is one
-    written table: a hub's neighbours are as many rows, broadcast only if they are few."""
+    in ``known`` (ids), score ``0.8 ** (hop + 1) * 0.8``, and never replace a hit. A hub's
+    neighbours are as many rows, broadcast only if they are few."""
     follows = F.col("relation").isin("DerivedFrom", "EvolvedTo") | ((F.col("relation") == "RelatedTo") & (F.col("weight") > threshold))
-    useful = edges.where(follows).select("source_id", "target_id", "weight")
-    both = useful.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight")
-    both = both.unionByName(useful.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), "weight"))
+    ways = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]
+    both = edges.where(follows).select(F.explode(F.array(*ways)).alias("x"), "weight").select("x.a", "x.b", "weight")
     found = written(hits.select("query_id", "id", "score"), "seeds")  # top-k: a batch's few rows
     frontier = found.withColumn("order", F.col("score"))
     for hop in range(depth):
@@ -168,10 +168,14 @@ def expand(hits: DataFrame, edges: DataFrame, known: DataFrame, depth: int, thre
         step = both.join(F.broadcast(best.select("query_id", F.col("id").alias("a"))), "a")
         step = step.groupBy("query_id", F.col("b").alias("id")).agg(F.max("weight").alias("order"))
         step = step.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        # each hop's ids must be units; those of few are looked up in one pass without a shuffle
         step = written(step, "hop")
-        ids = known.join(small(step.select("id").distinct()), "id", "left_semi")
-        step = step.join(small(ids), "id", "left_semi")
+        # found nodes must be units: the ids of few nodes are looked up in one pass without a shuffle
+        ids = step.select("id").distinct()
+        few = ids.limit(FEW_NODES + 1).count() <= FEW_NODES
+        ids = known.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        step = step.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        if hop + 1 < depth:
+            step = written(step, "hop")  # read again by the next
         found = found.unionByName(step.select("query_id", "id", F.lit(0.8 ** (hop + 1) * 0.8).alias("score")))
         frontier = step
     return found

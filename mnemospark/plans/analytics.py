@@ -136,7 +136,7 @@ def delete_node_edges(t: Tables):
 
 
 @query(
-    "M4 M5",
+    "M4",
     """WITH l AS (SELECT DISTINCT node, CASE WHEN substr(node, 1, 1) = 'c' THEN substr(node, 2)::BIGINT % 7 ELSE substr(node, 2)::BIGINT % 7 END AS community FROM (SELECT source_id AS node FROM edges UNION ALL SELECT target_id FROM edges)),
     d AS (SELECT node, sum(weight) AS d FROM (SELECT source_id AS node, weight FROM edges UNION ALL SELECT target_id, weight FROM edges) GROUP BY 1),
     m AS (SELECT sum(weight) AS m FROM edges)
@@ -163,7 +163,7 @@ def dashboard_graph(t: Tables):
     return graph.view(nodes, edges, 50)[1].groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query("M1 M2")
+@query("M1 M2 M5")
 def community_lpa(t: Tables):
     labels = community.label_propagation(graph.latest_edges(t.edges), 10, True)
     return community.groups(labels, 3)
@@ -386,7 +386,7 @@ def due_jobs(t: Tables):
 
 
 @query(
-    "T2 T3 T10",
+    "T2 T3",
     """SELECT CASE WHEN event_id % 17 = 0 THEN 'failed:malformed' WHEN event_id % 5 + 1 >= 3 THEN 'failed:retries' ELSE 'pending' END AS state, count(*)::BIGINT AS n FROM events WHERE event_id % 11 <> 4 GROUP BY 1""",
 )
 def dead_letters(t: Tables):
@@ -714,9 +714,9 @@ def batch_reconcile(t: Tables):
 )
 def correction_candidates(t: Tables):
     """For the stated set of new units, those whose id is divisible by 50, the best eight of all
-    earlier level-1 facts of the same user."""
+    earlier factual units of the same user."""
     cols = ["id", "doc_id", "user_id", "content", "keywords", "transaction_time", F.col("source").alias("stream")]
-    u = t.units.where("level = 1 and memory_type = 'factual'").select(*cols)
+    u = t.units.where("memory_type = 'factual'").select(*cols)
     new = written(correction.lookup_terms(t.units.where("doc_id % 50 = 0").select(*cols)), "new-units")
     found = written(correction.candidates(u, new), "candidates")
     new = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
@@ -852,7 +852,7 @@ def _facts_sql(found: bool) -> str:
 
 
 @query(
-    "X1 X3 X4 X7 X8 X10 C31",
+    "X1 X2 X3 X4 X7 X8 X10 C31",
     f"WITH {_facts_sql(True)} SELECT id, attribute, value, subject_key, change_type, confidence::BIGINT AS confidence FROM units JOIN f ON doc_id % {_N} = n",
     "units",
 )

@@ -38,6 +38,11 @@ CASES = {
     "Actually, I no longer work at Ferrymen. I also speak Finnish. I also love sailing.": said(("employment", "Ferrymen", "negation"), ("skill", "Finnish", "addition"), ("preference", "sailing", "addition")),
     "I live in Lund. Actually, scratch that, I now live in Tromsø.": said(("residence", "Lund", "reaffirm"), ("residence", "Tromsø", "update")),
     "我住在西安。不是，我现在住在昆明。": said(("residence", "西安", "reaffirm"), ("residence", "昆明", "update")),
+    "I sold my rowing boat": said(("ownership", "rowing boat", "negation")),
+    "I work at Ferrymen also speak Finnish": said(("employment", "Ferrymen", "reaffirm"), ("skill", "Finnish", "addition")),
+    "我住在昆明另外会说芬兰语": said(("residence", "昆明", "reaffirm"), ("skill", "芬兰语", "addition")),
+    "I currently live in Lund": said(("residence", "Lund", "update")),
+    "Antes trabajaba mucho, ahora vivo en Sevilla": said(("residence", "Sevilla", "update")),
     # from an old value to a new one
     "My email changed from m1@post.example to m2@post.example": said(("contact", "m1@post.example", "historical"), ("contact", "m2@post.example", "update")),
     "我的邮箱从 m1@post.example 改成 m2@post.example": said(("contact", "m1@post.example", "historical"), ("contact", "m2@post.example", "update")),
