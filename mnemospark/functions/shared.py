@@ -41,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, dealt to all of them: one file of
+    one row group is one task otherwise. Larger tables stay as they are read, without a shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is. ``df`` is
     counted, so it should be a written table or cheap to make."""

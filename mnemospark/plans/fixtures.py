@@ -7,7 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import spread
+
 AS_OF = "2024-01-31 00:00:00"
+TEXTS = ("documents", "conversations")  # work on a row outweighs reading it
 
 
 class Tables:
@@ -17,7 +20,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXTS else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
