@@ -53,6 +53,7 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _BITS = 12  # of a letter's code: up to five letters make one 64-bit key
 _UNKNOWN, _START, _END = 1, 2, 3
+_BLOCK = 50_000  # expressions
 
 
 def words(text: str | None) -> list[str]:
@@ -103,7 +104,12 @@ class Grams:
     """All letter histories of a list of expressions, by length, with what they lead to."""
 
     def __init__(self, letters: Letters, expressions: list[str]):
-        self.owner, length, keys = letters.keys(expressions)
+        parts = []
+        for first in range(0, max(len(expressions), 1), _BLOCK):  # a block at a time takes less memory
+            owner, length, keys = letters.keys(expressions[first : first + _BLOCK])
+            parts.append((owner + np.int32(first), length, keys))
+        self.owner, length, keys = (np.concatenate(x) for x in zip(*parts))
+        del parts
         self.expressions = len(expressions)
         self.own, self.at, self.below, self.context, self.contexts = {}, {}, {}, {}, {}
         longer = np.empty(0, np.int64)
