@@ -70,6 +70,41 @@ def test_flushes_and_requeued_writes(spark):
     assert {r.flush: r.written_with for r in queues.requeued(writes, "buffer").collect()} == {0: 1, 1: 1, 2: None}
 
 
+def test_busy_buffers_are_flushed_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, ms = [], {"a": 0, "b": 0, None: 0, "few": 0}
+    for n in range(1600):
+        who = rng.choice(["a", "a", "b", None, "few"] if n < 20 else ["a", "a", "b", None])
+        ms[who] += rng.choice([0, 0, 100, 400, 900, 4000 if n % 90 == 0 else 200])
+        rows.append((who, n, None if n % 97 == 0 else 1_700_000_000_000 + ms[who]))
+    edges = spark.createDataFrame(rows, "buffer string, source_id int, ms long").withColumn("at", F.timestamp_millis("ms"))
+    for most, block, seconds in ((7, 40, 3), (50, 30, 60), (100, 10, 2), (4, 700, 7200)):
+        want, state = {}, {}
+        for who, n, at in sorted(rows, key=lambda r: (r[0] or "", r[2] is None, r[2] or 0, r[1])):
+            number, count, since = state.get(who, (0, 0, at))
+            if count >= most or (at is not None and since is not None and at - since >= seconds * 1000):
+                number, count, since = number + 1, 0, at
+            want[n] = number
+            state[who] = number, count + 1, since
+        monkeypatch.setattr(queues, "BLOCK_EDGES", block)
+        got = queues.flushes(edges, "buffer", "at", most, seconds)
+        assert got.columns == [*edges.columns, "flush"]
+        assert {r.source_id: r.flush for r in got.collect()} == want
+        cut = queues._in_blocks(edges.withColumn("_at", F.unix_micros("at")), "buffer", 800)[1]
+        assert cut.select("buffer", "_block").distinct().count() > 1
+
+
+def test_requeued_writes_look_beyond_their_range(spark, monkeypatch):
+    monkeypatch.setattr(queues, "RANGE_FLUSHES", 4)
+    rng = random.Random(6)
+    rows = [(who, n, rng.random() < 0.15) for who in ("a", "b", None) for n in range(90)]
+    want = {(who, n): min((m for w, m, ok in rows if w == who and m >= n and ok), default=None) for who, n, _ in rows}
+    found = queues.requeued(spark.createDataFrame(rows, "buffer string, flush long, ok boolean"), "buffer")
+    assert {(r.buffer, r.flush): r.written_with for r in found.collect()} == want
+    # a frame from a row to the end is summed anew for each row: a day's writes would not end
+    assert "UnboundedFollowing" not in found._jdf.queryExecution().analyzed().toString().replace("unboundedfollowing", "UnboundedFollowing")
+
+
 def test_a_cluster_must_name_a_shared_folder(monkeypatch):
     class Context:
         master = "spark://somewhere:7077"
