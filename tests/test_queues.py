@@ -263,6 +263,26 @@ def test_two_phases_only_split_and_louvain_gains(spark):
     assert value(found) > max(0.2, value(alone))
 
 
+def test_candidates_are_found_without_pairs_of_all_units(spark, monkeypatch):
+    from mnemospark.operators import correction, retrieval
+
+    monkeypatch.setattr(correction, "BLOCK_UNITS", 16)
+    rng = random.Random(9)
+    rows = [(f"i{n}", rng.choice(["u", "u", "v", None]), None if n % 31 == 0 else n // 3, " ".join(rng.choices("alpha beta gamma delta omega".split(), k=rng.randrange(1, 6)))) for n in range(150)]
+    units = spark.createDataFrame(rows, "id string, user_id string, h int, content string")
+    units = units.withColumn("transaction_time", F.timestamp_add("HOUR", "h", F.lit("2024-01-01").cast("timestamp_ntz"))).drop("h")
+    new = units.where(F.substr("id", F.lit(2)).cast("int") % 10 == 0).withColumn("focus", F.split("content", " "))
+    queries = new.select(F.col("id").alias("query_id"), F.col("content").alias("text"))
+    score = {(r.query_id, r.id): r.score for r in retrieval.bm25(units, queries).collect()}
+    want, at = set(), {r[0]: r for r in rows}
+    for i in [r.query_id for r in queries.collect()]:
+        _, user, hour, _ = at[i]
+        before = [r for r in rows if None not in (user, hour, r[2]) and r[1] == user and r[2] < hour]
+        want |= {(i, r[0]) for r in sorted(before, key=lambda r: (-r[2], r[0]))[:24]}
+        want |= {(i, r[0]) for r in sorted((r for r in before if (i, r[0]) in score), key=lambda r: (-score[i, r[0]], r[0]))[:4]}
+    assert {tuple(r) for r in correction.candidates(units, new, 2).collect()} == want and len(want) > 100
+
+
 def test_a_graph_of_a_quarter_million_edges_is_one_tasks(spark, monkeypatch):
     from mnemospark.operators import community
 
